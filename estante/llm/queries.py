@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from estante.llm import lookalike, mixing, neardup, readability, survivor, tokens
+from estante.llm import canonical, lookalike, mixing, names, neardup, readability, scan_noise, subjects, survivor, tokens
 from estante.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "nomes"), table(spark, d, "metadados"))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, "nomes"), table(spark, d, "metadados"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_to_list(table(spark, d, "metadados"), table(spark, d, "areas"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched(table(spark, d, "metadados"), table(spark, d, "areas"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "convertidos"), table(spark, d, "metadados"), table(spark, d, "areas"), table(spark, d, "rotulos_area"))
+
+
+def p3_composition(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("area_id").agg(F.count("*").alias("conversoes"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "grupos_duplicados"), table(spark, d, "metadados"), table(spark, d, "fontes")).select("grupo_id", "campo", "registro_id")
 
@@ -35,6 +59,14 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.copy_classes(table(spark, d, "convertidos"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.scan_noise(table(spark, d, "convertidos"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired(table(spark, d, "convertidos"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents"))
 
@@ -61,7 +93,12 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p4_found, p4_golden, p5_found, p5_normalised, p6_found, p6_classes, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_profile)
-}
-
+    f.__name__: f
+    for f in (
+        p1_found, p1_entities, p2_found, p2_unmatched, p3_found, p3_composition, p4_found, p4_golden, p5_found, p5_normalised,
+        p6_found, p6_classes, p7_found, p7_repaired, p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_profile,
+    )
+}
+
+#: Of the problems, only the survivor of a group can be said in SQL without a model or a corpus statistic.
 ORACLE_SQL: dict[str, str] = {}
