@@ -27,6 +27,8 @@ SHINGLE_WORDS = 3
 SIMILARITY = 0.5
 #: Copies of one text are given in all pairs up to this many; more are given as pairs with the first, which lose no link.
 EXPAND_COPIES = 64
+#: So many ids, of 8 bytes each, are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -152,6 +154,12 @@ def _sets(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, s array<bigint>")
 
 
+def _of(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows joined with ids, which are broadcast if they are counted to be few, so that wide rows need no shuffle."""
+    ids = reliable(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
+
+
 def linked_texts(df: DataFrame, key: str = "conv_id", text: str = "markdown_completo", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links a, b between the first of each set of equal texts; and membership id, primeiro, copias.
 
@@ -161,24 +169,23 @@ def linked_texts(df: DataFrame, key: str = "conv_id", text: str = "markdown_comp
     """
     made = reliable(_sketched(df, key, text))
     first = made.groupBy("copia").agg(F.min("id").alias("primeiro"), F.count_distinct("id").alias("copias"))
-    members = made.select("id", "copia").distinct().join(first, "copia").select("id", "primeiro", "copias")
-    unique = made.join(first, (made["copia"] == first["copia"]) & (made["id"] == first["primeiro"]), "left_semi").dropDuplicates(["id"])
-    unique = unique.select("id", "marca", "faixas")
+    members = reliable(made.select("id", "copia").distinct().join(first, "copia").select("id", "primeiro", "copias"))
+    unique = _of(made, members.where("id <> primeiro").select("id"), "left_anti")
     keys = unique.select("id", F.explode("faixas").alias("faixa")).repartition("faixa")
     left, right = keys.alias("l"), keys.alias("r")
     met = left.join(right, (F.col("l.faixa") == F.col("r.faixa")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     marks = unique.select("id", "marca")
     both = met.join(marks.select(F.col("id").alias("a"), F.col("marca").alias("marca_a")), "a").join(marks.select(F.col("id").alias("b"), F.col("marca").alias("marca_b")), "b")
-    likely = reliable(_plausible(both, similarity * 0.6))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    sets = reliable(_sets(texts))
+    likely = reliable(_plausible(both, similarity * 0.6).distinct())
+    texts = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text)
+    sets = reliable(_sets(_of(texts, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "left_semi")))
     common = F.size(F.array_intersect("sa", "sb"))
     links = (
         likely.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         .where(common >= similarity * (F.size("sa") + F.size("sb") - common))
         .select("a", "b")
+        .distinct()
     )
     return links, members
 
