@@ -1 +1 @@
-
+"""Column expressions: text, identifiers, citations, naming."""
