@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from estante.functions.text import let
+
 SEPARATORS = r"[\s\-–—]"
 # Prefixes of a DOI, of which the first that fits is cut.
 DOI_PREFIX = r"(?i)^(https://doi\.org/|http://doi\.org/|http://dx\.doi\.org/|doi:)"
@@ -12,11 +14,6 @@ DOI_IN_TEXT = r"10\.\d{4,9}/[^\s,;\"'）)]+"
 YEAR_IN_TEXT = r"(?:19|20)\d{2}"
 
 
-def let(c: Column, use) -> Column:
-    """use(c) with c computed once, however often use refers to it."""
-    return F.element_at(F.transform(F.array(c), use), 1)
-
-
 def escaped(c: Column) -> Column:
     """The text as a pattern that matches it: every sign that is no letter or digit is escaped."""
     return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")

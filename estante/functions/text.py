@@ -75,6 +75,11 @@ def slug_sql(x: str) -> str:
     return f"coalesce(nullif(regexp_replace(regexp_replace(lower({fold_sql(f'''coalesce({x}, '')''')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'indefinido')"
 
 
+def let(c: Column, use) -> Column:
+    """use(c) with c computed once, however often use refers to it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 @F.pandas_udf("string")
 def nfc(values: pd.Series) -> pd.Series:
     """Composed form; only values with a character beyond Latin-1 are touched."""
@@ -88,8 +93,8 @@ def sanitize(c: Column, longest: int = MAX_SEGMENT, final: bool = True, composed
     clean = F.regexp_replace(clean, "^ | $", "")
     if final:
         clean = F.regexp_replace(clean, "[ .]+$", "")
-    clean = F.when(F.length(clean) > longest, F.regexp_replace(F.substring(clean, 1, longest), "[ .,;:-]+$", "")).otherwise(clean)
-    return F.when(F.upper(clean).isin(RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+    cut = let(clean, lambda x: F.when(F.length(x) > longest, F.regexp_replace(F.substring(x, 1, longest), "[ .,;:-]+$", "")).otherwise(x))
+    return let(cut, lambda x: F.when(F.length(x).between(3, 4) & F.upper(x).isin(RESERVED), F.concat(F.lit("_"), x)).otherwise(x))
 
 
 def sanitize_sql(x: str, longest: int = MAX_SEGMENT, final: bool = True) -> str:

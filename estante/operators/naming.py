@@ -25,15 +25,16 @@ def file_name(kind: Column, title: Column, subtitle: Column, author: Column, yea
     """Type - title - subtitle - author - year - publisher, without the missing ones, of at most MAX_NAME characters."""
     parts = [T.sanitize(p, final=False) for p in (kind, title, subtitle, author, F.when(year != 0, year.cast("string")), publisher)]
     name = F.regexp_replace(F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " - "), "[ .]+$", "")
-    name = F.when(name == "", T.NO_VALUE).otherwise(name)
-    return F.when(F.length(name) > T.MAX_NAME, F.regexp_replace(F.substring(name, 1, T.MAX_NAME), "[ .,;:-]+$", "")).otherwise(name)
+    cut = lambda x: F.when(x == "", T.NO_VALUE).when(F.length(x) > T.MAX_NAME, F.regexp_replace(F.substring(x, 1, T.MAX_NAME), "[ .,;:-]+$", "")).otherwise(x)
+    return T.let(name, cut)
 
 
 def directory(root: Column, area: Column, subarea: Column, kind: Column, review: Column) -> Column:
     """root[/revisao_manual]/area/subarea/plural; a blank area has a name of its own, a blank subarea that of the area."""
-    or_else = lambda c, other: F.when(c == "", other).otherwise(c)
-    a = or_else(T.sanitize(area), F.lit(T.NO_VALUE))
-    return F.concat_ws("/", root, F.when(review, F.lit(REVIEW)), a, or_else(T.sanitize(subarea), a), F.coalesce(or_else(T.sanitize(plural(kind)), F.lit("Outros")), F.lit("Outros")))
+    or_else = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
+    tail = F.coalesce(plural(kind), F.lit("Outros"))
+    both = F.struct(or_else(T.sanitize(area), F.lit(T.NO_VALUE)).alias("a"), T.sanitize(subarea).alias("s"))
+    return T.let(both, lambda x: F.concat_ws("/", root, F.when(review, F.lit(REVIEW)), x["a"], or_else(x["s"], x["a"]), tail))
 
 
 def within_path(name: Column, folder: Column, extension: str = ".pdf") -> Column:

@@ -46,4 +46,4 @@ def _front(fields: pd.DataFrame) -> pd.Series:
             return [] if k in ("autores", "tags") else None
         return json.loads(v) if k in ("autores", "tags") else int(v) if k in ("ano", "total_paginas") else v == "true" if k == "extraido_via_fallback" else v
 
-    return pd.Series([yaml.safe_dump({k: typed(k, v) for k, v in row.items()}, allow_unicode=True, sort_keys=False, default_flow_style=False).rstrip() for row in fields.to_dict("records")], dtype="object")
+    return pd.Series([yaml.dump({k: typed(k, v) for k, v in row.items()}, Dumper=getattr(yaml, "CSafeDumper", yaml.SafeDumper), allow_unicode=True, sort_keys=False, default_flow_style=False).rstrip() for row in fields.to_dict("records")], dtype="object")
