@@ -33,6 +33,11 @@ BROADCAST_IDS = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def seed(i: int) -> np.uint64:
+    """The i-th step of the sequence that tells rounds apart."""
+    return np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -80,7 +85,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
     for i in range(bins):
         if not len(x):
             return out
-        h = mix(x + np.uint64(i + 1) * _M1)
+        h = mix(x + seed(i + 1))
         at = doc * bins + (h % np.uint64(bins)).astype(np.int64)
         value = np.uint64(i) << np.uint64(40) | h >> np.uint64(24)
         free = flat[at] == empty if i else slice(None)
@@ -93,7 +98,7 @@ def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
         if not len(x):
             break
         free = out[doc, b] == empty
-        value = np.uint64(bins + b) << np.uint64(40) | mix(x[free] + np.uint64(bins + b + 1) * _M1) >> np.uint64(24)
+        value = np.uint64(bins + b) << np.uint64(40) | mix(x[free] + seed(bins + b + 1)) >> np.uint64(24)
         np.minimum.at(flat, doc[free] * bins + b, value)
     return out
 
