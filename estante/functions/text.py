@@ -8,6 +8,7 @@ from functools import lru_cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words that identify no document, for file names and for registries.
 STOP_FILE = """de da do das dos em no na nos nas para com sem por que uma um sobre entre the and for with from
@@ -80,7 +81,7 @@ def let(c: Column, use) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Composed form; only values with a character beyond Latin-1 are touched."""
     return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s), na_action="ignore")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estante.functions import text as T
+from estante.session import reliable
 
 # Folder names of the publication types.
 PLURAL = {"Livro": "Livros", "Artigo": "Artigos", "Dissertação/Tese": "Dissertações e Teses", "Apostila": "Apostilas", "Revista": "Revistas", "Capítulo de Livro": "Capítulos de Livro", "Outros": "Outros"}
@@ -68,26 +71,31 @@ def suffixed(name: Column, turn: Column) -> Column:
     return F.when(turn > 1, F.concat(name, F.lit(" ("), turn.cast("string"), F.lit(")"))).otherwise(name)
 
 
-def resolve_against(df: DataFrame, existing: DataFrame, rounds: int = 50) -> DataFrame:
+def resolve_against(df: DataFrame, existing: DataFrame, rounds: int = 20) -> DataFrame:
     """pasta, nome, caminho, vez → final name free among planned and existing ones.
 
-    existing: pasta, nome of files already there.  A generated "X (2)" may meet a
-    document of that own name; then its number grows, one join a round, until no
-    row is left.
+    existing: pasta, nome of files already there.  A name that is taken, also by a
+    document whose own name is "X (2)", gives way to the numbers after the last one
+    planned for it, in the order of the paths; one round of joins each time.
     """
-    taken = existing.select("pasta", "nome").distinct()
-    done, left = None, df.withColumn("final", suffixed(F.col("nome"), F.col("vez")))
-    for _ in range(rounds):
-        names = left.join(taken.withColumn("_t", F.lit(True)), (left["pasta"] == taken["pasta"]) & (left["final"] == taken["nome"]), "left").select(left["*"], F.coalesce("_t", F.lit(False)).alias("_t"))
-        clash = Window.partitionBy("pasta", "final").orderBy("vez", "caminho")
-        names = names.withColumn("_k", F.row_number().over(clash)).withColumn("_bad", F.col("_t") | (F.col("_k") > 1))
-        good = names.where(~F.col("_bad")).drop("_t", "_k", "_bad")
-        done = good if done is None else done.unionByName(good)
-        taken = taken.union(good.select("pasta", F.col("final").alias("nome")))
-        left = names.where("_bad").withColumn("vez", F.col("vez") + 1).withColumn("final", suffixed(F.col("nome"), F.col("vez"))).drop("_t", "_k", "_bad")
-        if left.isEmpty():
+    taken = reliable(existing.select("pasta", "nome").distinct())
+    done, left = [], reliable(df.withColumn("final", suffixed(F.col("nome"), F.col("vez"))))
+    last = reliable(df.groupBy("pasta", "nome").agg(F.max("vez").alias("_max")))
+    for k in range(rounds):
+        used = taken.select("pasta", F.col("nome").alias("final"), F.lit(True).alias("_t"))
+        first = Window.partitionBy("pasta", "final").orderBy("vez", "caminho")
+        marked = reliable(left.join(used, ["pasta", "final"], "left").withColumn("_bad", F.coalesce("_t", F.lit(False)) | (F.row_number().over(first) > 1)).drop("_t"))
+        good = marked.where(~F.col("_bad")).select(*df.columns, "final")
+        done.append(good)
+        taken = reliable(taken.union(good.select("pasta", F.col("final").alias("nome"))))
+        bad = marked.where("_bad")
+        if bad.isEmpty():
             break
-    return done
+        turn = F.row_number().over(Window.partitionBy("pasta", "nome").orderBy("caminho"))
+        left = bad.join(last, ["pasta", "nome"]).withColumn("vez", (F.greatest("_max", F.lit(1)) + turn).cast("bigint"))
+        left = reliable(left.withColumn("final", suffixed(F.col("nome"), F.col("vez"))).select(*df.columns, "final"))
+        last = reliable(last.join(left.groupBy("pasta", "nome").agg(F.max("vez").alias("_new")), ["pasta", "nome"], "left").select("pasta", "nome", F.coalesce("_new", "_max").alias("_max")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def divergence(file: Column, title: Column, subtitle: Column, author: Column, publisher: Column) -> Column:

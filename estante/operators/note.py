@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from estante.functions import text as T
 from estante.operators.naming import author_for_name
@@ -35,7 +36,7 @@ def notes(df: DataFrame, today: str, provider: Column, fallback: Column) -> Data
     return df.withColumn("nota", F.concat(F.lit("---\n"), _front(fields), F.lit("\n---\n\n"), body(F.col("titulo"), F.col("referencia_abnt"), F.col("markdown_completo"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _front(fields: pd.DataFrame) -> pd.Series:
     import json
 
