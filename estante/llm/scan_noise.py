@@ -403,7 +403,8 @@ def continuous(text: str, right: dict[str, str], found: set[tuple[int, str]]) ->
             if kind:
                 out.append(line)
             continue
-        at = at + line.strip() if cut else f"{at} {line.strip()}".strip()
+        # A cut word goes on without its hyphen, a word with a hyphen of its own with it.
+        at = at + line.strip() if cut or CUT.search(at) else f"{at} {line.strip()}".strip()
         cut = (i + 1, "hifen") in found
         if cut:
             at = at[:-1]
