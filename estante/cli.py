@@ -7,7 +7,7 @@ import datetime
 import logging
 import os
 
-from estante.config import Config, dotenv
+from estante.config import PROVIDERS, Config, dotenv
 
 
 def parser() -> argparse.ArgumentParser:
@@ -68,11 +68,16 @@ def main(argv: list[str] | None = None, state_folder: str | None = None, make_ex
         state.save(origem=a.origem, destino=a.destino, dry_run=a.dry_run, recursive=a.recursive, mover=a.mover, subpasta_markdown=a.subpasta_md, modelo=a.modelo, ollama_url=a.ollama_url, provedor=a.provedor, provedor_fallback=a.provedor_fallback, modelo_fallback=a.modelo_fallback)
     documents = reliable(convert(todo, opener))
     first = make_extractor or (lambda: HttpExtractor(cfg.provider, cfg.model, cfg.base_url, cfg.api_key))
-    plan = reliable(catalogue(documents.where("erro is null"), first, a.destino, datetime.date.today().isoformat(), provider=cfg.provider))
+    second = (lambda: HttpExtractor(cfg.fallback, cfg.fallback_model, PROVIDERS[cfg.fallback], cfg.fallback_key)) if cfg.fallback else None
+    try:
+        plan = reliable(catalogue(documents.where("erro is null"), first, a.destino, datetime.date.today().isoformat(), second, None, cfg.provider, cfg.fallback, cfg.pages, cfg.characters))
+    except RuntimeError as problem:
+        log.error("%s", problem)
+        return 1
     existing = spark.createDataFrame([(f, n[:-4]) for f, _, names in os.walk(a.destino) for n in names if n.endswith(".pdf")], "pasta string, nome string")
     ready = plan.where("erro is null")
     final = ready.selectExpr("*", "nome as final") if a.dry_run else naming.resolve_against(ready, existing)
-    written = reliable(write_plan(final, a.dry_run, a.mover))
+    written = reliable(write_plan(final, a.dry_run, a.mover, a.subpasta_md))
     if not a.dry_run:
         state.mark(todo)
     failed = written.where("situacao = 'falha'").count() + plan.where("erro is not null").count() + documents.where("erro is not null").count()

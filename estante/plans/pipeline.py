@@ -13,12 +13,12 @@ from estante.sources.extractors import extract
 WARNING = "o título ou autor extraído quase não tem palavras em comum com o nome do arquivo"
 
 
-def catalogue(documents: DataFrame, extractor, destination: str, today: str, fallback=None, registry: DataFrame | None = None, provider: str = "ollama", fallback_provider: str | None = None) -> DataFrame:
+def catalogue(documents: DataFrame, extractor, destination: str, today: str, fallback=None, registry: DataFrame | None = None, provider: str = "ollama", fallback_provider: str | None = None, pages: int = excerpt.PAGES, characters: int = excerpt.BUDGET) -> DataFrame:
     """caminho, registro, pasta, nome, vez, nota, aviso, erro, usou_fallback from converted documents.
 
     documents: caminho, nome_arquivo, markdown_completo, paginas, total_paginas, metadados_embutidos.
     """
-    shown = excerpt.excerpts(documents, F.col("paginas")).withColumn("pedido", excerpt.user_prompt(F.col("nome_arquivo"), F.col("total_paginas"), F.col("metadados_embutidos"), F.col("trecho")))
+    shown = excerpt.excerpts(documents, F.col("paginas"), pages, characters).withColumn("pedido", excerpt.user_prompt(F.col("nome_arquivo"), F.col("total_paginas"), F.col("metadados_embutidos"), F.col("trecho")))
     shown = reliable(shown)
     r = F.col("registro")
     warned = naming.divergence(F.element_at(F.split("caminho", "/"), -1), r["titulo"], r["subtitulo"], r["autor_principal"], r["editora_ou_periodico"])

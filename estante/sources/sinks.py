@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_plan(plan: DataFrame, dry_run: bool = False, move: bool = False) -> DataFrame:
+def write_plan(plan: DataFrame, dry_run: bool = False, move: bool = False, note_folder: str | None = None) -> DataFrame:
     """caminho, situacao, destino, erro from caminho, pasta, final, nota.
 
     The plan is made before, deterministically, so a repeated task writes the same
-    files again.  A file that cannot be written is a failure of its row.
+    files again.  note_folder: a subfolder of its own for the notes.  A file that cannot be written is a failure of its row.
     """
     if dry_run:
         return plan.select("caminho", F.lit("simulado").alias("situacao"), F.concat("pasta", F.lit("/"), "final", F.lit(".pdf")).alias("destino"), F.lit(None).cast("string").alias("erro"))
@@ -30,7 +30,9 @@ def write_plan(plan: DataFrame, dry_run: bool = False, move: bool = False) -> Da
                     # A repeated task finds a moved file at its target.
                     if os.path.exists(path) or not os.path.exists(target):
                         (shutil.move if move else shutil.copy2)(path, target)
-                    with open(os.path.join(folder, name + ".md"), "w", encoding="utf-8") as f:
+                    notes = os.path.join(folder, note_folder) if note_folder else folder
+                    os.makedirs(notes, exist_ok=True)
+                    with open(os.path.join(notes, name + ".md"), "w", encoding="utf-8") as f:
                         f.write(note)
                     rows.append((path, "sucesso", target, None))
                 except OSError as problem:

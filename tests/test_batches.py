@@ -163,6 +163,24 @@ def test_files_to_notes(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("*.md"))) == 3 and len(list((tmp_path / "out").rglob("*.pdf"))) == 3
 
 
+def test_command_line(spark, tmp_path):
+    from estante import cli
+
+    Fake, FakeExtractor = fakes()
+    src = tmp_path / "in"
+    src.mkdir()
+    for n in ("a.pdf", "b.pdf"):
+        (src / n).write_bytes(b"%PDF")
+    base = ["-i", str(src), "-o", str(tmp_path / "out"), "--log", str(tmp_path / "erros.log")]
+    use = {"state_folder": str(tmp_path / "s"), "make_extractor": FakeExtractor, "opener": Fake}
+    assert cli.main([*base, "--dry-run"], **use) == 0 and not (tmp_path / "out").exists()
+    assert cli.main([*base, "--subpasta-md", "notas"], **use) == 0
+    assert len(list((tmp_path / "out").rglob("notas/*.md"))) == 2 and not (tmp_path / "s").exists()
+    assert cli.main(["-o", "x"], **use) == 2 and cli.main(["--resume"], **use) == 2 and cli.main([*base, "-p", "nenhum"], **use) == 2
+    (src / "c.pdf").mkdir()
+    assert cli.main(["-i", str(src / "c.pdf"), "-o", "x"], **use) == 1
+
+
 def test_fatal_and_blank_are_data(spark):
     _, FakeExtractor = fakes()
     rows = [("a", "fatal", "x"), ("b", "bom", "x"), ("c", "bom", " "), ("d", "bom", None)]
