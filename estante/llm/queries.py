@@ -100,5 +100,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Of the problems, only the survivor of a group can be said in SQL without a model or a corpus statistic.
-ORACLE_SQL: dict[str, str] = {}
+
+_SEP = "[\\s\\x{A0}\\x{2000}-\\x{200B}\\x{3000}\\x{AD}\\x{2010}-\\x{2014}\\x{2212}.-]"
+_digit = lambda c, i: f"(CASE WHEN {c}[{i}] = 'X' THEN 10 ELSE try_cast({c}[{i}] AS int) END)"
+_sum = lambda c, w: "(" + " + ".join(f"{_digit(c, i + 1)} * {x}" for i, x in enumerate(w)) + ")"
+_fold = f"trim(regexp_replace(translate(lower(editora_ou_periodico), '{survivor.ACCENTED}', '{survivor.PLAIN}'), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}]+', ' ', 'g'))"
+_fillers = ", ".join(f"'{x}'" for x in survivor.FILLERS)
+#: The survivor of a group in plain SQL; the other problems need a model, a sketch or a statistic of the corpus.
+ORACLE_SQL: dict[str, str] = {
+    "p4_found": f"""WITH r AS (SELECT registro_id, fonte, extraido_em, recebido_em, ano, editora_ou_periodico, {_fold} AS ed, identificadores.isbn AS isbn, identificadores.issn AS issn, identificadores.doi AS doi,
+regexp_replace(regexp_replace(upper(identificadores.isbn), '{_SEP}', '', 'g'), '^(URN:)?E?ISBN(1[03])?:?', '') AS bc, regexp_replace(regexp_replace(upper(identificadores.issn), '{_SEP}', '', 'g'), '^(URN:)?[EP]?ISSNL?:?', '') AS sc,
+regexp_replace(trim(identificadores.doi), '(?i)^\\s*<?(https?://)?((dx\\.|www\\.)?doi\\.org/|(urn:|info:)?doi\\s*[:=/]?\\s*)', '') AS dc FROM metadados),
+v AS (SELECT *, 'isbn' AS campo, isbn AS valor FROM r WHERE (regexp_full_match(bc, '[0-9]{{9}}[0-9X]') AND {_sum('bc', range(10, 0, -1))} % 11 = 0 OR regexp_full_match(bc, '97[89][0-9]{{10}}') AND {_sum('bc', [1, 3] * 6 + [1])} % 10 = 0) AND replace(bc, bc[1], '') <> ''
+UNION ALL SELECT *, 'issn', issn FROM r WHERE regexp_full_match(sc, '[0-9]{{7}}[0-9X]') AND {_sum('sc', range(8, 0, -1))} % 11 = 0 AND NOT regexp_full_match(sc, '0+')
+UNION ALL SELECT *, 'doi', doi FROM r WHERE regexp_full_match(dc, '10\\.[0-9]{{4,9}}(\\.[0-9]+)*/\\S+') AND NOT regexp_matches(dc, '(?i)/(x+|\\.+|-+|\\?+|n/?[ad])$')
+UNION ALL SELECT *, 'ano', cast(ano AS varchar) FROM r WHERE ano BETWEEN 1000 AND 9999 AND ano <= year(extraido_em)
+UNION ALL SELECT *, 'editora_ou_periodico', editora_ou_periodico FROM r WHERE regexp_matches(ed, '\\p{{L}}') AND ed NOT IN ({_fillers}) AND regexp_replace(ed, '[\\[\\]().]', '', 'g') NOT IN ({_fillers}))
+SELECT grupo_id, campo, registro_id FROM (SELECT g.grupo_id, v.*, row_number() OVER (PARTITION BY g.grupo_id, campo ORDER BY f.confianca DESC NULLS LAST, extraido_em DESC NULLS LAST, recebido_em DESC NULLS LAST, v.registro_id, valor) AS k
+FROM (SELECT DISTINCT grupo_id, registro_id FROM grupos_duplicados) g JOIN v ON g.registro_id = v.registro_id LEFT JOIN fontes f ON v.fonte = f.fonte) x WHERE k = 1"""
+}
