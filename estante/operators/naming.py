@@ -71,26 +71,36 @@ def suffixed(name: Column, turn: Column) -> Column:
     return F.when(turn > 1, F.concat(name, F.lit(" ("), turn.cast("string"), F.lit(")"))).otherwise(name)
 
 
-def resolve_against(df: DataFrame, existing: DataFrame, rounds: int = 20) -> DataFrame:
+def _numbered(names: DataFrame, column: str) -> DataFrame:
+    """pasta, nome, n: the largest number n of the names "nome (n)" in each folder."""
+    form = r"(?s)^(.*) \(([0-9]{1,15})\)\z"
+    parts = names.where(F.col(column).rlike(form)).select("pasta", F.regexp_extract(column, form, 1).alias("nome"), F.regexp_extract(column, form, 2).cast("bigint").alias("n"))
+    return parts.groupBy("pasta", "nome").agg(F.max("n").alias("n"))
+
+
+def resolve_against(df: DataFrame, existing: DataFrame) -> DataFrame:
     """pasta, nome, caminho, vez → final name free among planned and existing ones.
 
     existing: pasta, nome of files already there.  A name that is taken, also by a
     document whose own name is "X (2)", gives way to the numbers after the last one
-    planned for it, in the order of the paths; one round of joins each time.
+    planned or standing for it, in the order of the paths; rounds of joins go on
+    until every row has a name.  Rows without folder or name collide with nothing.
     """
     taken = reliable(existing.select("pasta", "nome").distinct())
     done, left = [], reliable(df.withColumn("final", suffixed(F.col("nome"), F.col("vez"))))
-    last = reliable(df.groupBy("pasta", "nome").agg(F.max("vez").alias("_max")))
-    for k in range(rounds):
+    planned = df.select("pasta", "nome", F.col("vez").cast("bigint").alias("n"))
+    last = reliable(planned.union(_numbered(taken, "nome")).union(_numbered(df.select("pasta", "nome"), "nome")).groupBy("pasta", "nome").agg(F.max("n").alias("_max")))
+    while True:
         used = taken.select("pasta", F.col("nome").alias("final"), F.lit(True).alias("_t"))
         first = Window.partitionBy("pasta", "final").orderBy("vez", "caminho")
-        marked = reliable(left.join(used, ["pasta", "final"], "left").withColumn("_bad", F.coalesce("_t", F.lit(False)) | (F.row_number().over(first) > 1)).drop("_t"))
+        named = F.col("pasta").isNotNull() & F.col("final").isNotNull()
+        marked = reliable(left.join(used, ["pasta", "final"], "left").withColumn("_bad", named & (F.coalesce("_t", F.lit(False)) | (F.row_number().over(first) > 1))).drop("_t"))
         good = marked.where(~F.col("_bad")).select(*df.columns, "final")
         done.append(good)
-        taken = reliable(taken.union(good.select("pasta", F.col("final").alias("nome"))))
         bad = marked.where("_bad")
         if bad.isEmpty():
             break
+        taken = reliable(taken.union(good.select("pasta", F.col("final").alias("nome"))))
         turn = F.row_number().over(Window.partitionBy("pasta", "nome").orderBy("caminho"))
         left = bad.join(last, ["pasta", "nome"]).withColumn("vez", (F.greatest("_max", F.lit(1)) + turn).cast("bigint"))
         left = reliable(left.withColumn("final", suffixed(F.col("nome"), F.col("vez"))).select(*df.columns, "final"))

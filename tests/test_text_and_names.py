@@ -86,6 +86,13 @@ def test_collisions_number_in_order_and_avoid_existing(spark):
     assert naming.collisions(df.limit(0), ["pasta", "nome"], "caminho").count() == 0
 
 
+def test_no_document_is_lost_in_a_full_folder(spark):
+    there = spark.createDataFrame([("p", "X")] + [("p", f"X ({i})") for i in range(2, 61)] + [("p", "X (99999999999999999999)")], "pasta string, nome string")
+    df = spark.createDataFrame([("p", "X", "/a", 1), ("p", "X", "/b", 2), ("p", "X (61)", "/c", 1), (None, "X", "/d", 1), (None, "X", "/e", 1), ("p", None, "/f", 1), ("p", None, "/g", 1)], "pasta string, nome string, caminho string, vez bigint")
+    final = {r["caminho"]: r["final"] for r in naming.resolve_against(df, there).collect()}
+    assert final == {"/a": "X (62)", "/b": "X (63)", "/c": "X (61)", "/d": "X", "/e": "X", "/f": None, "/g": None}
+
+
 @pytest.mark.parametrize(
     "value, text, found",
     [("978-85-323-1005-7", "ISBN 978 85 323 1005 7 fim", True), ("0034-7284", "doi 10.1590/S0034-72842023", False), ("10.1000/xyz", "veja 10.1000/XYZ.", True), ("", "x", False), (" - ", "x - y", False), (None, "x", False), ("1234", None, False)],
