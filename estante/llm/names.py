@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from estante.llm.canonical import lacking_one, one_edit
@@ -38,7 +38,9 @@ KINDS = {
 }
 FILLING = frozenset("brasileira bras brasil federal fed grafica sa me eireli cia".split())
 LONG = ["editora", "revista", "brasileira", "universidade", "federal", "grafica"]
-SLIP, INITIAL, OMITTED, MISSING_KIND = 4.0, 1.0, 1.2, 0.7
+SLIP, INITIAL, OMITTED, MISSING_KIND, DIMINUTIVE = 4.0, 1.0, 1.2, 0.7, 2.0
+#: How many times as frequent a given name must be as another token for that to be a slip or a diminutive of it.
+PRIOR = 20
 
 
 def fold(text: str) -> str:
@@ -56,17 +58,30 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and len(x) > 1 and x[2:] == y[2:])
 
 
-def given_lexicon(names: DataFrame) -> set[str]:
-    """Tokens that stand after the comma in a share of all names; a share of 0.0005 allows at most a few thousand."""
+def given_lexicon(names: DataFrame) -> dict[str, int]:
+    """Tokens, with their counts, that stand after the comma in a share of all names; a share of 0.0005 allows at most a few thousand."""
     after = F.regexp_extract_all(F.regexp_replace(F.lower(F.substring_index("nome", ",", -1)), r"\(.*?\)", ""), F.lit(r"(?U)([\p{L}\p{M}]{3,})"), 1)
     with_comma = names.where("campo = 'autor' and nome like '%,%'")
     total = with_comma.count()
     counted = with_comma.select(F.explode(after).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, 0.0005 * total))
-    return {fold(r["t"]) for r in counted.collect()} - PARTICLES - TITLES
+    found: dict[str, int] = {}
+    for r in counted.collect():
+        found[fold(r["t"])] = found.get(fold(r["t"]), 0) + r["n"]
+    return {t: n for t, n in found.items() if t not in PARTICLES and t not in TITLES}
 
 
-def read_author(nome: str, lexicon: set[str]) -> tuple[str, list[str]]:
-    """Family name and given names, folded; nicknames and slips in given names resolved by the lexicon."""
+def likeliest(options: list[str], lexicon: dict[str, int]) -> str | None:
+    """The one given name that is PRIOR times as frequent as any other of the options; None if there is none."""
+    ranked = sorted(options, key=lambda g: (-lexicon[g], g))
+    return ranked[0] if ranked and (len(ranked) == 1 or lexicon[ranked[0]] >= PRIOR * lexicon[ranked[1]]) else None
+
+
+def read_author(nome: str, lexicon: dict[str, int]) -> tuple[str, list[str]]:
+    """Family name and given names, folded; nicknames and slips in given names resolved by the lexicon.
+
+    A token of the lexicon is resolved only if it is a known nickname of a more
+    frequent name; whether it is a slip is left to the attribution.
+    """
     text = re.sub(r"\(.*?\)|\[.*?\]", " ", fold(nome))
     cut = lambda s: [t for t in re.findall(r"[a-z]+", s) if t not in PARTICLES]
     given_like = lambda t: t in lexicon or t in NICKNAMES or len(t) == 1
@@ -88,15 +103,14 @@ def read_author(nome: str, lexicon: set[str]) -> tuple[str, list[str]]:
             family, given = words[-1:], words[:-1]
     out = []
     for t in given:
-        if len(t) > 1 and t not in lexicon:
+        if len(t) > 1:
             full = NICKNAMES.get(t)
-            if full is None and len(t) > 3:
+            if t in lexicon:
+                full = full if lexicon.get(full, 0) > lexicon[t] else None
+            elif full is None:
                 # A slip leads to one given name, else the token stays.
-                options = [g for g in lexicon if near(t, g)]
-                full = options[0] if len(options) == 1 else None
-            if full is None:
-                options = [g for g in lexicon if len(g) > len(t) > 1 and (g.startswith(t) or g.endswith(t))]
-                full = options[0] if len(options) == 1 else None
+                full = likeliest([g for g in lexicon if near(t, g)], lexicon) if len(t) > 3 else None
+                full = full or likeliest([g for g in lexicon if len(g) > len(t) and (g.startswith(t) or g.endswith(t))], lexicon)
             t = full or t
         out.append(t)
     return "".join(family), out
@@ -120,7 +134,7 @@ def read_publisher(nome: str) -> tuple[str, str, str]:
     return kind, " ".join(core), acronym
 
 
-def parsed(names: DataFrame, lexicon: set[str]) -> DataFrame:
+def parsed(names: DataFrame, lexicon: dict[str, int]) -> DataFrame:
     """nome_id, campo, nome, tipo, nucleo, g1, g2, sigla: the form each spelling is read as."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +159,13 @@ def frequencies(records: DataFrame) -> DataFrame:
     return authors.union(houses).where("nome is not null").groupBy("campo", "nome").agg(F.count("*").alias("n"))
 
 
+def diminutive(small: Column, full: Column) -> Column:
+    """Whether the one is the other, but for its last vowel, with -inho or -inha."""
+    stem = F.regexp_replace(small, "z?inh[oa]$", "")
+    end = F.substring(small, -1, 1)
+    return small.rlike(".{3,}inh[oa]$") & ((full == stem) | (full == F.concat(stem, end)) | (full == F.concat(stem, F.lit("e"))))
+
+
 def attribute(nodes: DataFrame) -> DataFrame:
     """no, pai: the most likely canonical form above each node, for nodes that have one.
 
@@ -153,20 +174,37 @@ def attribute(nodes: DataFrame) -> DataFrame:
     whole = lambda c: F.length(c) > 1
     level = F.when(whole("g1"), 2).otherwise(0) + F.when(whole("g2"), 2).when(F.length("g2") == 1, 1).otherwise(0) + F.when(F.col("tipo") != "", 1).otherwise(0)
     family = Window.partitionBy("campo", "tipo", "nucleo")
-    ranked = nodes.withColumn("nivel", level).withColumn("familia", F.count("*").over(family)).withColumn("familia_n", F.sum("n").over(family)).withColumn("ini", F.substring("g1", 1, 1))
+    given = nodes.where("campo = 'autor'")
+    tokens = given.select(F.col("g1").alias("g"), "formas").union(given.select("g2", "formas")).where(whole("g")).groupBy("g").agg(F.sum("formas").alias("f"))
+    for g in ("g1", "g2"):
+        nodes = nodes.join(tokens.select(F.col("g").alias(g), F.col("f").alias(f"{g}_n")), g, "left").fillna(0, [f"{g}_n"])
+    # A given name that is seldom met is less canonical than one often met.
+    nodes = nodes.withColumn("uso", F.round(F.log(F.col("g1_n") + 1.0) + F.log(F.col("g2_n") + 1.0), 9))
+    ranked = nodes.withColumn("nivel", level).withColumn("familia", F.count("*").over(family)).withColumn("familia_n", F.sum("n").over(family))
+    # One edit at the beginning of a given name leaves one of its first two letters.
+    ranked = ranked.withColumn("ini", F.explode(F.when(F.length("g1") > 2, F.array_distinct(F.array(F.substring("g1", 1, 1), F.substring("g1", 2, 1)))).otherwise(F.array(F.substring("g1", 1, 1)))))
     keyed = ranked.where(F.length("nucleo") > 1).withColumn("k", F.explode(F.when(F.length("nucleo") >= 5, lacking_one(F.col("nucleo"))).otherwise(F.array("nucleo"))))
     v, c = keyed.alias("v"), keyed.where((F.col("campo") == "editora") | whole("g1") | (F.length("g1") == 1)).alias("c")
     col = lambda side, name: F.col(f"{side}.{name}")
     met = v.join(c, (col("v", "campo") == col("c", "campo")) & (col("v", "k") == col("c", "k")) & (col("v", "ini") == col("c", "ini")) & (col("v", "no") != col("c", "no")) & ((col("v", "tipo") == col("c", "tipo")) | (col("v", "tipo") == "")))
     slip = col("v", "nucleo") != col("c", "nucleo")
-    part = lambda g: F.when(col("v", g) == col("c", g), 0.0).when(col("v", g) == "", OMITTED).when((F.length(col("v", g)) == 1) & col("c", g).startswith(col("v", g)), INITIAL)
+
+    def part(g: str) -> Column:
+        a, b = col("v", g), col("c", g)
+        often, seldom = F.greatest(col("v", f"{g}_n"), col("c", f"{g}_n")), F.least(col("v", f"{g}_n"), col("c", f"{g}_n"))
+        # Two given names that are both in use are two persons.
+        odd = ~slip & (F.length(a) > 2) & (F.length(b) > 2) & (often >= PRIOR * seldom)
+        return (
+            F.when(a == b, 0.0)
+            .when(a == "", OMITTED)
+            .when((F.length(a) == 1) & b.startswith(a), INITIAL)
+            .when(odd & one_edit(a, b), SLIP)
+            .when(odd & (diminutive(a, b) | diminutive(b, a)), DIMINUTIVE)
+        )
+
     cost1, cost2 = part("g1"), part("g2")
-    above = (
-        (col("c", "nivel") > col("v", "nivel"))
-        | (col("c", "nivel") == col("v", "nivel")) & (col("c", "familia_n") > col("v", "familia_n"))
-        | (col("c", "nivel") == col("v", "nivel")) & (col("c", "familia_n") == col("v", "familia_n")) & (col("c", "n") > col("v", "n"))
-        | (col("c", "nivel") == col("v", "nivel")) & (col("c", "familia_n") == col("v", "familia_n")) & (col("c", "n") == col("v", "n")) & (col("c", "no") < col("v", "no"))
-    )
+    rank = lambda side: F.struct(col(side, "nivel"), col(side, "familia_n"), col(side, "uso"), col(side, "n"), -col(side, "no"))
+    above = rank("c") > rank("v")
     # A slip is made in one spelling: a family name that several forms share is a name of its own.
     once = ~slip | (col("v", "familia") <= 2) & (col("v", "formas") <= 2) & (col("v", "familia_n") <= col("c", "familia_n")) & one_edit(col("v", "nucleo"), col("c", "nucleo"))
     posterior = F.log(col("c", "n") + 1.0) - F.when(slip, SLIP).otherwise(0.0) - cost1 - cost2 - F.when(col("v", "tipo") != col("c", "tipo"), F.when(col("c", "tipo") == "editora", MISSING_KIND / 2).otherwise(MISSING_KIND)).otherwise(0.0)

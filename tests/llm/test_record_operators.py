@@ -37,6 +37,23 @@ def test_name_variants_are_linked(spark):
     assert A.variant_pairs(names, records.limit(0)).count() > 0 and A.variant_pairs(names.limit(0), records).count() == 0
 
 
+GIVEN = ["Iris", "Vicente", "Francisco", "Beatriz", "Julio", "Julia"]
+
+
+def linked(spark, spelt, filler=(), records=()):
+    """The pairs of positions in spelt that are linked, among fillers that make given names frequent."""
+    others = [f"Xurt{chr(97 + i)}{chr(97 + j)}melo, {g}" for i in range(9) for j in range(9) for g in GIVEN] + list(filler)
+    names = spark.createDataFrame([(i, "autor", n, None) for i, n in enumerate([*spelt, *others])], "nome_id bigint, campo string, nome string, registro_id bigint")
+    table = spark.createDataFrame([record(i, autores=[n]) for i, n in enumerate(records)], RECORD)
+    return {tuple(r) for r in A.variant_pairs(names, table).collect() if r["nome_b"] < len(spelt)}
+
+
+def test_frequent_slips_and_nicknames_of_given_names_are_linked(spark):
+    spelt = ["Vodrimer, Irris", "Vodrimer, Iris", "Jucoljico, Vicentinho", "Jucoljico, Vicente", "Jucoljico, V.", "Mapegur, Chico", "Mapegur, Francisco", "Dromerdol, Beatriz Irris", "Dromerdol, Beatriz Iris", "Melannur, Julio", "Melannur, Julia", "Zucolj, Ris", "Zucolj, Iris"]
+    filler = [f"Yurt{chr(97 + i)}melo, {g}" for i in range(2) for g in ("Irris", "Vicentinho", "Chico", "Ris")]
+    assert linked(spark, spelt, filler) == {(0, 1), (2, 3), (2, 4), (3, 4), (5, 6), (7, 8), (11, 12)}
+
+
 def test_one_edit_and_deletions_agree_with_brute_force(spark):
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(60)})
