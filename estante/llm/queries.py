@@ -64,7 +64,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scan_noise.repaired(table(spark, d, "convertidos"))
+    return scan_noise.repaired(table(spark, d, "convertidos"), beginning="markdown_inicial")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

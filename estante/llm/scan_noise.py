@@ -304,22 +304,25 @@ def _context(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame, dict[str,
     return words, wrong, {r["w"]: True for r in sure.toLocalIterator()}
 
 
-def _facts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Facts of the lines; misread words; sure cuts and those the corpus decides."""
-    words, wrong, trusted = _context(df, text)
+def _facts(df: DataFrame, key: str, text: str, context: tuple, whole: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Facts of the lines; misread words; sure cuts and those the corpus decides.
+
+    A text is also searched if the text it is a part of, in the column whole, is scanned.
+    """
+    words, wrong, trusted = context
     share = df.sparkSession.sparkContext.broadcast(trusted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = share.value
         for batch in batches:
             rows: list[tuple] = []
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if scanned(value):
+            for k, value, full in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if scanned(value) or full is not None and scanned(full):
                     rows += {(k, *fact) for fact in line_facts(Page(value), known)}
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.string()) for c in columns[2:])], names=["conv_id", "linha", "o_que", "w", "inteira"])
 
-    facts = reliable(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("conv_id"), text).mapInArrow(run, "conv_id bigint, linha bigint, o_que string, w string, inteira string"))
+    facts = reliable(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("conv_id"), text, (F.col(whole) if whole else F.lit(None).cast("string")).alias("_inteiro")).mapInArrow(run, "conv_id bigint, linha bigint, o_que string, w string, inteira string"))
     count = lambda n: words.select(F.col("w").alias(n), (F.col("limpo") + F.col("lido")).alias(f"n_{n}"))
     tail, lead = F.element_at(F.split("inteira", "-"), -1), F.element_at(F.split("inteira", "-"), -2)
     cuts = (
@@ -341,7 +344,7 @@ def scan_noise(df: DataFrame, key: str = "conv_id", text: str = "markdown_comple
     Null and empty texts, and texts whose lines are not cut at a width, have none.
     Repeated rows of one key count once.
     """
-    facts, wrong, sure = _facts(df, key, text)
+    facts, wrong, sure = _facts(df, key, text, _context(df, text))
     misread = facts.where(F.col("o_que") == "palavra").join(wrong, "w").select("conv_id", "linha", F.lit("caractere").alias("tipo"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,27 +360,36 @@ def scan_noise(df: DataFrame, key: str = "conv_id", text: str = "markdown_comple
     return sure.union(misread).union(halves).distinct()
 
 
-def repaired(df: DataFrame, key: str = "conv_id", text: str = "markdown_completo") -> DataFrame:
-    """conv_id, texto: the texts in continuous paragraphs, one row for every row of df with a key.
+def repaired(df: DataFrame, key: str = "conv_id", text: str = "markdown_completo", beginning: str | None = None) -> DataFrame:
+    """conv_id, texto[, inicial]: the texts in continuous paragraphs, one row for every row of df with a key.
 
     Page numbers and headers are left out, cut words joined, misread words replaced
     by the word printed, and the lines of a paragraph joined.  Texts that are not
-    scanned come out as they are; null stays null.
+    scanned come out as they are; null stays null.  inicial is the column beginning,
+    which may hold a page of its own, repaired by the words of the whole texts.
     """
-    facts, wrong, sure = _facts(df, key, text)
-    right = facts.where((F.col("o_que") == "palavra") | F.col("o_que").startswith("inteira")).select("conv_id", "w").distinct().join(wrong, "w").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "certo"))).alias("certos"))
-    lines = sure.distinct().groupBy("conv_id").agg(F.collect_list(F.struct("linha", "tipo")).alias("achados"))
-    whole = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("conv_id"), F.col(text).alias("texto")).join(right, "conv_id", "left").join(lines, "conv_id", "left")
+    context = _context(df, text)
+    columns = [(text, "texto", None)] + ([(beginning, "inicial", text)] if beginning else [])
+    whole = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("conv_id"), *[F.col(source).alias(name) for source, name, _ in columns])
+    for source, name, of in columns:
+        facts, wrong, sure = _facts(df, key, source, context, of)
+        right = facts.where((F.col("o_que") == "palavra") | F.col("o_que").startswith("inteira")).select("conv_id", "w").distinct().join(wrong, "w").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "certo"))).alias(f"certos_{name}"))
+        lines = sure.distinct().groupBy("conv_id").agg(F.collect_list(F.struct("linha", "tipo")).alias(f"achados_{name}"))
+        whole = whole.join(right, "conv_id", "left").join(lines, "conv_id", "left")
+    names = [name for _, name, _ in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                value if value is None or not scanned(value) else continuous(value, dict(words or []), {(x["linha"], x["tipo"]) for x in found or []})
-                for value, words, found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["conv_id", "texto"])
-
-    return whole.select("conv_id", "texto", "certos", "achados").mapInArrow(run, "conv_id bigint, texto string")
+            made, of = [], batch.column(1).to_pylist()
+            for n in range(len(names)):
+                made.append([
+                    value if value is None or not (scanned(value) or full is not None and scanned(full)) else continuous(value, dict(words or []), {(x["linha"], x["tipo"]) for x in found or []})
+                    for full, value, words, found in zip(of, *(batch.column(3 * n + k).to_pylist() for k in (1, 2, 3)))
+                ])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(texts, pa.string()) for texts in made)], names=["conv_id", *names])
+
+    order = [c for name in names for c in (name, f"certos_{name}", f"achados_{name}")]
+    return whole.select("conv_id", *order).mapInArrow(run, ", ".join(["conv_id bigint", *(f"{name} string" for name in names)]))
 
 
 def continuous(text: str, right: dict[str, str], found: set[tuple[int, str]]) -> str:

@@ -116,6 +116,19 @@ def test_scan_noise_on_planted_cases(spark):
     assert N.scan_noise(df.limit(0)).count() == 0
 
 
+def test_beginnings_are_repaired_by_the_words_of_the_whole(spark):
+    clean = "a primeira leitura dos documentos da biblioteca mostra que o argumento do trabalho depende da parte segundo consta dos registros constatou-se que continua na segunda casa e " * 80
+    short = "\n".join(scanned_page().split("\n")[:6])
+    card = short + "\n\n[...]\n\nFicha catalográfica\nSilva, Ana\n    Lugar : Casa, 1946."
+    rows = [(1, scanned_page(), short), (2, clean, clean[:50]), (3, scanned_page(), None), (4, None, "Só\nisto."), (5, scanned_page(), card)]
+    df = spark.createDataFrame(rows, "conv_id bigint, markdown_completo string, markdown_inicial string")
+    got = {r["conv_id"]: r for r in N.repaired(df, beginning="markdown_inicial").collect()}
+    first = "# Leitura de documentos\n\nA leitura dos documentos da biblioteca mostra que o argumento do trabalho depende da primeira parte, segundo consta dos registros. Constatou-"
+    assert got[1]["inicial"] == first and got[1]["texto"].startswith(first)
+    assert got[2]["inicial"] == clean[:50] and got[3]["inicial"] is None and got[4]["inicial"] == "Só\nisto." and got[4]["texto"] is None
+    assert got[5]["inicial"].startswith(first + "\n\n[...]\n\n") and got[5]["inicial"].endswith("Ficha catalográfica\n\nSilva, Ana\n\n    Lugar : Casa, 1946.")
+
+
 def test_misreads_agree_with_enumeration():
     word = "contrato"
     for a, b in N.CONFUSIONS:
