@@ -38,7 +38,7 @@ KINDS = {
 }
 FILLING = frozenset("brasileira bras brasil federal fed grafica sa me eireli cia".split())
 LONG = ["editora", "revista", "brasileira", "universidade", "federal", "grafica"]
-SLIP, INITIAL, OMITTED, MISSING_KIND, DIMINUTIVE = 4.0, 1.0, 1.2, 0.7, 2.0
+SLIP, INITIAL, OMITTED, MISSING_KIND, DIMINUTIVE, AGAIN = 4.0, 1.0, 1.2, 0.7, 2.0, 0.7
 #: How many times as frequent a given name must be as another token for that to be a slip or a diminutive of it.
 PRIOR = 20
 
@@ -180,10 +180,10 @@ def attribute(nodes: DataFrame) -> DataFrame:
         nodes = nodes.join(tokens.select(F.col("g").alias(g), F.col("f").alias(f"{g}_n")), g, "left").fillna(0, [f"{g}_n"])
     # A given name that is seldom met is less canonical than one often met.
     nodes = nodes.withColumn("uso", F.round(F.log(F.col("g1_n") + 1.0) + F.log(F.col("g2_n") + 1.0), 9))
-    ranked = nodes.withColumn("nivel", level).withColumn("familia", F.count("*").over(family)).withColumn("familia_n", F.sum("n").over(family))
+    ranked = nodes.withColumn("nivel", level).withColumn("familia", F.sum("formas").over(family)).withColumn("familia_n", F.sum("n").over(family))
     # One edit at the beginning of a given name leaves one of its first two letters.
     ranked = ranked.withColumn("ini", F.explode(F.when(F.length("g1") > 2, F.array_distinct(F.array(F.substring("g1", 1, 1), F.substring("g1", 2, 1)))).otherwise(F.array(F.substring("g1", 1, 1)))))
-    keyed = ranked.where(F.length("nucleo") > 1).withColumn("k", F.explode(F.when(F.length("nucleo") >= 5, lacking_one(F.col("nucleo"))).otherwise(F.array("nucleo"))))
+    keyed = ranked.where(F.length("nucleo") > 1).withColumn("k", F.explode(lacking_one(F.col("nucleo"))))
     v, c = keyed.alias("v"), keyed.where((F.col("campo") == "editora") | whole("g1") | (F.length("g1") == 1)).alias("c")
     col = lambda side, name: F.col(f"{side}.{name}")
     met = v.join(c, (col("v", "campo") == col("c", "campo")) & (col("v", "k") == col("c", "k")) & (col("v", "ini") == col("c", "ini")) & (col("v", "no") != col("c", "no")) & ((col("v", "tipo") == col("c", "tipo")) | (col("v", "tipo") == "")))
@@ -205,8 +205,10 @@ def attribute(nodes: DataFrame) -> DataFrame:
     cost1, cost2 = part("g1"), part("g2")
     rank = lambda side: F.struct(col(side, "nivel"), col(side, "familia_n"), col(side, "uso"), col(side, "n"), -col(side, "no"))
     above = rank("c") > rank("v")
-    # A slip is made in one spelling: a family name that several forms share is a name of its own.
-    once = ~slip | (col("v", "familia") <= 2) & (col("v", "formas") <= 2) & (col("v", "familia_n") <= col("c", "familia_n")) & one_edit(col("v", "nucleo"), col("c", "nucleo"))
+    # Every further spelling of a family name tells of a name of its own, and so does a short one, unless the other stands so often that slips of it must be met.
+    odds = F.log((col("c", "familia_n") + 1.0) / (col("v", "familia_n") + 1.0))
+    own = F.when(F.least(F.length(col("v", "nucleo")), F.length(col("c", "nucleo"))) < 5, SLIP).otherwise(F.least(F.lit(SLIP), AGAIN * (col("v", "familia") - 1)))
+    once = ~slip | (col("v", "familia_n") <= col("c", "familia_n")) & (odds >= own) & one_edit(col("v", "nucleo"), col("c", "nucleo"))
     posterior = F.log(col("c", "n") + 1.0) - F.when(slip, SLIP).otherwise(0.0) - cost1 - cost2 - F.when(col("v", "tipo") != col("c", "tipo"), F.when(col("c", "tipo") == "editora", MISSING_KIND / 2).otherwise(MISSING_KIND)).otherwise(0.0)
     scored = met.where(above & once & cost1.isNotNull() & cost2.isNotNull()).select(col("v", "no").alias("no"), col("c", "no").alias("pai"), F.round(posterior, 9).alias("p"))
     best = Window.partitionBy("no").orderBy(F.desc("p"), "pai")

@@ -54,6 +54,12 @@ def test_frequent_slips_and_nicknames_of_given_names_are_linked(spark):
     assert linked(spark, spelt, filler) == {(0, 1), (2, 3), (2, 4), (3, 4), (5, 6), (7, 8), (11, 12)}
 
 
+def test_a_repeated_slip_in_a_frequent_family_name_is_linked(spark):
+    spelt = ["Silispabra, Beatriz", "Silispabar, B.", "Silispabar, Beatriz", "Beatriz Silispabar", "Silispabar, Beatriz Julia", "Silispabra, Beatriz Julia", "Dias, Julio", "Diaz, Julio", "Lima, Vicente", "Lira, Vicente", "Souzamel, Iris", "Souzamel, I.", "Souzamel, Iris Julia", "Sousamel, Iris", "Sousamel, I.", "Sousamel, Iris Julia"]
+    got = linked(spark, spelt, records=["Silispabra, Beatriz"] * 400 + ["Dias, Julio"] * 400)
+    assert got == {(a, b) for a in range(6) for b in range(a + 1, 6)} | {(6, 7)} | {(a, b) for k in (10, 13) for a in range(k, k + 3) for b in range(a + 1, k + 3)}
+
+
 def test_one_edit_and_deletions_agree_with_brute_force(spark):
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(60)})
