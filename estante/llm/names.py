@@ -1,16 +1,24 @@
 """Variant spellings of names typed by people, linked by noisy-channel attribution.
 
 Spellings are read into a form (family name and given names, or kind and core of a
-publisher), and equal forms are one node.  Every node looks for the canonical form
-it most likely is a spelling of: the posterior is the frequency prior of the
-candidate times the likelihoods of the steps between (a slip of the pen, an
-initial, a name left out), and it must beat the node standing for itself.
-Candidates rank above by completeness and then by frequency, so the links are a
-forest; the roots are the entities.
+publisher), and equal forms are one node.  Canonical candidates of a node are the
+most frequent nodes that could have been shortened or mistyped to its form.  The
+posterior of a candidate is its frequency times the likelihood of the steps between
+(a slip of the pen, a nickname, a kind left out); the hypothesis that the node is a
+name of its own is the chance that another person bears this family name and these
+given names.  Each node is attached to the candidate of the largest posterior, if
+that beats the name of its own.  The likelihoods of the steps are counted in a first
+attribution and used in the second.
+
+No candidate is looked for by comparing all nodes of a family name: every node gives
+the forms it may be shortened to, only the most frequent node is kept of each form,
+and a node asks for its own form, under its own family name and given names and
+under those one edit, a nickname or a diminutive away.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from estante.llm.canonical import lacking_one, one_edit
+from estante.llm.canonical import one_edit
 from estante.session import reliable
 
 # Words around a name that are no part of it.
@@ -38,9 +46,16 @@ KINDS = {
 }
 FILLING = frozenset("brasileira bras brasil federal fed grafica sa me eireli cia".split())
 LONG = ["editora", "revista", "brasileira", "universidade", "federal", "grafica"]
-SLIP, INITIAL, OMITTED, MISSING_KIND, DIMINUTIVE, AGAIN = 4.0, 1.0, 1.2, 0.7, 2.0, 0.7
-#: How many times as frequent a given name must be as another token for that to be a slip or a diminutive of it.
+#: Start values of the steps' likelihoods: a slip, a nickname or diminutive, a beginning or end of a given name; and how many counts they weigh.
+STEPS, WEIGHT = {"erro": 0.018, "apelido": 0.05, "parte": 0.007}, 50.0
+#: The share of names that are new persons; nats a letter tells in a name; the share of an initial.
+NEW, LETTER, INITIAL = 0.3, 2.5, 0.05
+#: Log of how many times as frequent a family name must be for each further spelling of a slip of it, and of the most that is asked.
+AGAIN, MOST = 0.7, 4.0
+#: How many times as frequent as another a given name at one edit must be for the other's share to be that of a slip.
 PRIOR = 20
+#: What a publisher's name without its kind costs: less if the kind is that of most publishers.
+KIND_LEFT_OUT, PUBLISHER_LEFT_OUT = 0.7, 0.35
 
 
 def fold(text: str) -> str:
@@ -58,62 +73,27 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (x[:2] == y[1::-1] and len(x) > 1 and x[2:] == y[2:])
 
 
-def given_lexicon(names: DataFrame) -> dict[str, int]:
-    """Tokens, with their counts, that stand after the comma in a share of all names; a share of 0.0005 allows at most a few thousand."""
-    after = F.regexp_extract_all(F.regexp_replace(F.lower(F.substring_index("nome", ",", -1)), r"\(.*?\)", ""), F.lit(r"(?U)([\p{L}\p{M}]{3,})"), 1)
-    with_comma = names.where("campo = 'autor' and nome like '%,%'")
-    total = with_comma.count()
-    counted = with_comma.select(F.explode(after).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, 0.0005 * total))
-    found: dict[str, int] = {}
-    for r in counted.collect():
-        found[fold(r["t"])] = found.get(fold(r["t"]), 0) + r["n"]
-    return {t: n for t, n in found.items() if t not in PARTICLES and t not in TITLES}
+def _words(text: str, initials: bool) -> list[str]:
+    """Words without particles; a single letter is an initial if it may be (initials) or has a dot."""
+    found = re.findall(r"([a-z]+)(\.?)", text)
+    return [t for i, (t, dot) in enumerate(found) if t not in PARTICLES or len(t) == 1 and (initials or dot or not i)]
 
 
-def likeliest(options: list[str], lexicon: dict[str, int]) -> str | None:
-    """The one given name that is PRIOR times as frequent as any other of the options; None if there is none."""
-    ranked = sorted(options, key=lambda g: (-lexicon[g], g))
-    return ranked[0] if ranked and (len(ranked) == 1 or lexicon[ranked[0]] >= PRIOR * lexicon[ranked[1]]) else None
-
-
-def read_author(nome: str, lexicon: dict[str, int]) -> tuple[str, list[str]]:
-    """Family name and given names, folded; nicknames and slips in given names resolved by the lexicon.
-
-    A token of the lexicon is resolved only if it is a known nickname of a more
-    frequent name; whether it is a slip is left to the attribution.
-    """
+def read_author(nome: str) -> tuple[list[str], list[str] | None]:
+    """Family name and at most two given names, folded; without a comma also the reading that begins with the family name."""
     text = re.sub(r"\(.*?\)|\[.*?\]", " ", fold(nome))
-    cut = lambda s: [t for t in re.findall(r"[a-z]+", s) if t not in PARTICLES]
-    given_like = lambda t: t in lexicon or t in NICKNAMES or len(t) == 1
-    close = lambda t: given_like(t) or len(t) > 3 and any(near(t, g) for g in lexicon)
+    form = lambda family, given: ["".join(family), *(given + ["", ""])[:2]]
     if "," in text:
         head, tail = text.split(",", 1)
-        family, given = cut(head), [t for t in cut(tail) if t not in TITLES or t in lexicon]
-        if not family:
-            family, given = given[-1:], given[:-1]
-    else:
-        words = cut(text)
-        while len(words) > 1 and words[0] in TITLES and words[0] not in lexicon:
-            words = words[1:]
-        if len(words) < 2:
-            family, given = words, []
-        elif given_like(words[-1]) and not given_like(words[0]) or close(words[-1]) and not close(words[0]):
-            family, given = words[:1], words[1:]
-        else:
-            family, given = words[-1:], words[:-1]
-    out = []
-    for t in given:
-        if len(t) > 1:
-            full = NICKNAMES.get(t)
-            if t in lexicon:
-                full = full if lexicon.get(full, 0) > lexicon[t] else None
-            elif full is None:
-                # A slip leads to one given name, else the token stays.
-                full = likeliest([g for g in lexicon if near(t, g)], lexicon) if len(t) > 3 else None
-                full = full or likeliest([g for g in lexicon if len(g) > len(t) and (g.startswith(t) or g.endswith(t))], lexicon)
-            t = full or t
-        out.append(t)
-    return "".join(family), out
+        family, every = _words(head, False), _words(tail, True)
+        given = [t for t in every if t not in TITLES] or every
+        return (form(family, given) if family else form(given[-1:], given[:-1])), None
+    words = _words(text, False)
+    while len(words) > 1 and words[0] in TITLES:
+        words = words[1:]
+    if len(words) < 2:
+        return form(words, []), None
+    return form(words[-1:], words[:-1]), form(words[:1], words[1:])
 
 
 def read_publisher(nome: str) -> tuple[str, str, str]:
@@ -134,22 +114,39 @@ def read_publisher(nome: str) -> tuple[str, str, str]:
     return kind, " ".join(core), acronym
 
 
-def parsed(names: DataFrame, lexicon: dict[str, int]) -> DataFrame:
-    """nome_id, campo, nome, tipo, nucleo, g1, g2, sigla: the form each spelling is read as."""
+def parsed(names: DataFrame) -> DataFrame:
+    """nome_id, campo, nome, tipo, nucleo, g1, g2, sigla: the form each spelling is read as.
+
+    A name without a comma begins with the family name if, by the names that have
+    one, its last word is more of a given name than its first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for campo, nome in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if campo == "autor":
-                    family, given = read_author(nome, lexicon)
-                    rows.append(("", family, given[0] if given else "", "".join(given[1:2]), ""))
+                    first, other = read_author(nome)
+                    rows.append(("", *first, "", *(other or [None] * 3), "," in nome))
                 else:
                     kind, core, acronym = read_publisher(nome)
-                    rows.append((kind, core, "", "", acronym))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 5))], names=["nome_id", "campo", "nome", "tipo", "nucleo", "g1", "g2", "sigla"])
-
-    return names.where("nome_id is not null and campo is not null and nome is not null").select(F.col("nome_id").cast("bigint"), "campo", "nome").mapInArrow(run, "nome_id bigint, campo string, nome string, tipo string, nucleo string, g1 string, g2 string, sigla string")
+                    rows.append((kind, core, "", "", acronym, None, None, None, False))
+            columns = list(zip(*rows)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.string()) for c in columns[:8]), pa.array(columns[8], pa.bool_())], names=["nome_id", "campo", "nome", "tipo", "nucleo", "g1", "g2", "sigla", "nucleo2", "h1", "h2", "virgula"])
+
+    read = reliable(
+        names.where("nome_id is not null and campo is not null and nome is not null").select(F.col("nome_id").cast("bigint"), "campo", "nome")
+        .mapInArrow(run, "nome_id bigint, campo string, nome string, tipo string, nucleo string, g1 string, g2 string, sigla string, nucleo2 string, h1 string, h2 string, virgula boolean")
+    )
+    said = read.where("virgula").select(F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(d).alias("d")) for c, d in (("g1", 1), ("g2", 1), ("nucleo", 0))])).alias("x")).select("x.*").where("length(t) > 1")
+    often = said.groupBy("t").agg(((F.sum("d") + 0.5) / (F.count("*") - F.sum("d") + 0.5)).alias("dado"))
+    unsure, sure = read.where("nucleo2 is not null"), read.where("nucleo2 is null")
+    # In the first reading the last word is the family name, in the other the first.
+    told = unsure.join(often.select(F.col("t").alias("nucleo"), F.col("dado").alias("ultimo")), "nucleo", "left").join(often.select(F.col("t").alias("nucleo2"), F.col("dado").alias("primeiro")), "nucleo2", "left")
+    first_is_family = F.when(F.length("nucleo") == 1, True).when(F.length("nucleo2") == 1, False).otherwise(F.coalesce("ultimo", F.lit(1.0)) > F.coalesce("primeiro", F.lit(1.0)))
+    pick = lambda a, b: F.when(first_is_family, F.col(b)).otherwise(F.col(a)).alias(a)
+    out = ["nome_id", "campo", "nome", "tipo", "nucleo", "g1", "g2", "sigla"]
+    return sure.select(*out).union(told.select("nome_id", "campo", "nome", "tipo", pick("nucleo", "nucleo2"), pick("g1", "h1"), pick("g2", "h2"), "sigla"))
 
 
 def frequencies(records: DataFrame) -> DataFrame:
@@ -159,60 +156,121 @@ def frequencies(records: DataFrame) -> DataFrame:
     return authors.union(houses).where("nome is not null").groupBy("campo", "nome").agg(F.count("*").alias("n"))
 
 
-def diminutive(small: Column, full: Column) -> Column:
-    """Whether the one is the other, but for its last vowel, with -inho or -inha."""
-    stem = F.regexp_replace(small, "z?inh[oa]$", "")
-    end = F.substring(small, -1, 1)
-    return small.rlike(".{3,}inh[oa]$") & ((full == stem) | (full == F.concat(stem, end)) | (full == F.concat(stem, F.lit("e"))))
+def deletions(c: Column) -> Column:
+    """Hashes of the string and of all strings that lack one of its characters; two strings at one edit share one."""
+    return F.array_distinct(F.concat(F.array(F.xxhash64(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.xxhash64(F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c)))))))
+
+
+def near_families(families: DataFrame) -> DataFrame:
+    """campo, nucleo, outro: names at one edit from each other."""
+    keyed = families.where("length(nucleo) > 2").select("campo", "nucleo", F.explode(deletions(F.col("nucleo"))).alias("k"))
+    other = keyed.select("campo", F.col("nucleo").alias("outro"), "k")
+    return keyed.join(other, ["campo", "k"]).where(F.col("nucleo") != F.col("outro")).select("campo", "nucleo", "outro").distinct().where(one_edit(F.col("nucleo"), F.col("outro")))
+
+
+def other_given(tokens: DataFrame) -> DataFrame:
+    """g, outro, passo, taxa: the more frequent given names that each given name may stand for, by which step, and how often that is met.
+
+    taxa is counted where the other name is PRIOR times as frequent, else 0.
+    """
+    more = lambda df: df.where((F.col("fo") > F.col("f")) | (F.col("fo") == F.col("f")) & (F.col("outro") > F.col("g")))
+    of = tokens.select(F.col("g").alias("outro"), F.col("f").alias("fo"))
+    keyed = tokens.where("length(g) > 2").withColumn("k", F.explode(deletions(F.col("g"))))
+    slips = more(keyed.join(of.where("length(outro) > 2").withColumn("k", F.explode(deletions(F.col("outro")))), "k").where("g <> outro")).select("g", "outro").distinct().where(one_edit(F.col("g"), F.col("outro"))).select("g", "outro", F.lit("erro").alias("passo"))
+    listed = F.create_map(*[F.lit(x) for pair in NICKNAMES.items() for x in pair])
+    stem = F.regexp_replace("g", "z?inh[oa]$", "")
+    small = F.when(F.col("g").rlike(".{3,}inh[oa]$"), F.array(stem, F.concat(stem, F.substring("g", -1, 1)), F.concat(stem, F.lit("e")))).otherwise(F.array().cast("array<string>"))
+    nicknames = tokens.select("g", F.explode(F.array_compact(F.concat(F.array(F.try_element_at(listed, F.col("g"))), small))).alias("outro")).where("g <> outro").distinct().select("g", "outro", F.lit("apelido").alias("passo"))
+    ends = F.flatten(F.transform(F.sequence(F.lit(3), F.length("outro") - 1), lambda n: F.array(F.substring(F.col("outro"), F.lit(1), n), F.substring(F.col("outro"), F.length("outro") - n + 1, n))))
+    parts = more(of.where("length(outro) between 4 and 40").withColumn("g", F.explode(F.array_distinct(ends))).join(tokens, "g").where("g <> outro")).select("g", "outro", F.lit("parte").alias("passo"))
+    every = slips.union(nicknames).union(parts)
+    rank = F.when(F.col("passo") == "apelido", 2).when(F.col("passo") == "erro", 1).otherwise(0)
+    found = every.groupBy("g", "outro").agg(F.max_by("passo", rank).alias("passo")).join(tokens, "g").join(of, "outro", "left")
+    return found.select("g", "outro", "passo", F.when((F.col("passo") == "erro") & (F.col("fo") >= PRIOR * F.col("f")), F.col("f") / F.col("fo")).otherwise(0.0).alias("taxa"))
+
+
+def _key(exact: Column, campo: str, tipo: Column, nucleo: Column, g1: Column, g2: Column) -> Column:
+    return F.concat_ws("|", exact, F.col(campo), tipo, nucleo, g1, g2)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """chave, pai, and its figures: of each form a node may be shortened to, and of its own form, the most frequent node."""
+    c = F.col
+    whole = lambda g: F.length(g) > 1
+    first, second = lambda g: F.substring(g, 1, 1), F.lit("")
+    form = lambda exact, tipo, g1, g2: _key(F.lit(exact), "campo", tipo, c("nucleo"), g1, g2)
+    two = c("g2") != ""
+    forms = [
+        form("x", c("tipo"), c("g1"), c("g2")),
+        F.when(whole("g2"), form("a", c("tipo"), c("g1"), first("g2"))),
+        F.when(two, form("a", c("tipo"), c("g1"), second)),
+        F.when(whole("g1") & two, form("a", c("tipo"), first("g1"), first("g2"))),
+        F.when(whole("g1") & whole("g2"), form("a", c("tipo"), first("g1"), c("g2"))),
+        F.when(whole("g1"), form("a", c("tipo"), first("g1"), second)),
+        F.when(c("g1") != "", form("a", c("tipo"), F.lit(""), second)),
+        F.when(c("tipo") != "", form("a", F.lit(""), c("g1"), c("g2"))),
+    ]
+    figures = F.struct("no", "n", "nivel", "familia_n", "uso", "tipo")
+    given = nodes.where("length(nucleo) > 1").select(F.explode(F.array_distinct(F.array_compact(F.array(*forms)))).alias("chave"), figures.alias("c"), F.struct(c("n"), -c("no")).alias("posto"))
+    return given.groupBy("chave").agg(F.max_by("c", "posto").alias("c"))
 
 
 def attribute(nodes: DataFrame) -> DataFrame:
-    """no, pai: the most likely canonical form above each node, for nodes that have one.
+    """no, pai: the canonical form of the largest posterior, for nodes that are no name of their own.
 
     nodes: no, campo, tipo, nucleo, g1, g2, n, formas (how many spellings).
     """
-    whole = lambda c: F.length(c) > 1
-    level = F.when(whole("g1"), 2).otherwise(0) + F.when(whole("g2"), 2).when(F.length("g2") == 1, 1).otherwise(0) + F.when(F.col("tipo") != "", 1).otherwise(0)
-    family = Window.partitionBy("campo", "tipo", "nucleo")
-    given = nodes.where("campo = 'autor'")
-    tokens = given.select(F.col("g1").alias("g"), "formas").union(given.select("g2", "formas")).where(whole("g")).groupBy("g").agg(F.sum("formas").alias("f"))
+    c = F.col
+    whole = lambda g: F.length(g) > 1
+    families = reliable(nodes.groupBy("campo", "nucleo").agg(F.sum("n").alias("familia_n"), F.sum("formas").alias("familia")))
+    # How many family names a given name stands with: its spellings in one family are one.
+    tokens = reliable(nodes.where("campo = 'autor'").select("nucleo", F.explode(F.array("g1", "g2")).alias("g")).where(whole("g")).distinct().groupBy("g").agg(F.count("*").alias("f")))
+    totals = {r["campo"]: r["n"] for r in families.groupBy("campo").agg(F.sum("familia_n").alias("n")).collect()}
+    every = float(tokens.agg(F.sum("f").alias("f")).first()["f"] or 1)
     for g in ("g1", "g2"):
-        nodes = nodes.join(tokens.select(F.col("g").alias(g), F.col("f").alias(f"{g}_n")), g, "left").fillna(0, [f"{g}_n"])
+        nodes = nodes.join(tokens.select(c("g").alias(g), c("f").alias(f"{g}_n")), g, "left").fillna(0, [f"{g}_n"])
+    level = F.when(whole("g1"), 2).otherwise(0) + F.when(whole("g2"), 2).when(F.length("g2") == 1, 1).otherwise(0) + F.when(c("tipo") != "", 1).otherwise(0)
     # A given name that is seldom met is less canonical than one often met.
-    nodes = nodes.withColumn("uso", F.round(F.log(F.col("g1_n") + 1.0) + F.log(F.col("g2_n") + 1.0), 9))
-    ranked = nodes.withColumn("nivel", level).withColumn("familia", F.sum("formas").over(family)).withColumn("familia_n", F.sum("n").over(family))
-    # One edit at the beginning of a given name leaves one of its first two letters.
-    ranked = ranked.withColumn("ini", F.explode(F.when(F.length("g1") > 2, F.array_distinct(F.array(F.substring("g1", 1, 1), F.substring("g1", 2, 1)))).otherwise(F.array(F.substring("g1", 1, 1)))))
-    keyed = ranked.where(F.length("nucleo") > 1).withColumn("k", F.explode(lacking_one(F.col("nucleo"))))
-    v, c = keyed.alias("v"), keyed.where((F.col("campo") == "editora") | whole("g1") | (F.length("g1") == 1)).alias("c")
-    col = lambda side, name: F.col(f"{side}.{name}")
-    met = v.join(c, (col("v", "campo") == col("c", "campo")) & (col("v", "k") == col("c", "k")) & (col("v", "ini") == col("c", "ini")) & (col("v", "no") != col("c", "no")) & ((col("v", "tipo") == col("c", "tipo")) | (col("v", "tipo") == "")))
-    slip = col("v", "nucleo") != col("c", "nucleo")
-
-    def part(g: str) -> Column:
-        a, b = col("v", g), col("c", g)
-        often, seldom = F.greatest(col("v", f"{g}_n"), col("c", f"{g}_n")), F.least(col("v", f"{g}_n"), col("c", f"{g}_n"))
-        # Two given names that are both in use are two persons.
-        odd = ~slip & (F.length(a) > 2) & (F.length(b) > 2) & (often >= PRIOR * seldom)
-        return (
-            F.when(a == b, 0.0)
-            .when(a == "", OMITTED)
-            .when((F.length(a) == 1) & b.startswith(a), INITIAL)
-            .when(odd & one_edit(a, b), SLIP)
-            .when(odd & (diminutive(a, b) | diminutive(b, a)), DIMINUTIVE)
-        )
-
-    cost1, cost2 = part("g1"), part("g2")
-    rank = lambda side: F.struct(col(side, "nivel"), col(side, "familia_n"), col(side, "uso"), col(side, "n"), -col(side, "no"))
-    above = rank("c") > rank("v")
-    # Every further spelling of a family name tells of a name of its own, and so does a short one, unless the other stands so often that slips of it must be met.
-    odds = F.log((col("c", "familia_n") + 1.0) / (col("v", "familia_n") + 1.0))
-    own = F.when(F.least(F.length(col("v", "nucleo")), F.length(col("c", "nucleo"))) < 5, SLIP).otherwise(F.least(F.lit(SLIP), AGAIN * (col("v", "familia") - 1)))
-    once = ~slip | (col("v", "familia_n") <= col("c", "familia_n")) & (odds >= own) & one_edit(col("v", "nucleo"), col("c", "nucleo"))
-    posterior = F.log(col("c", "n") + 1.0) - F.when(slip, SLIP).otherwise(0.0) - cost1 - cost2 - F.when(col("v", "tipo") != col("c", "tipo"), F.when(col("c", "tipo") == "editora", MISSING_KIND / 2).otherwise(MISSING_KIND)).otherwise(0.0)
-    scored = met.where(above & once & cost1.isNotNull() & cost2.isNotNull()).select(col("v", "no").alias("no"), col("c", "no").alias("pai"), F.round(posterior, 9).alias("p"))
-    best = Window.partitionBy("no").orderBy(F.desc("p"), "pai")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("no", "pai")
+    use = F.round(F.log(c("g1_n") + 1.0) + F.log(c("g2_n") + 1.0), 9)
+    share = lambda g: F.when(c(g) == "", 0.0).when(F.length(g) == 1, math.log(INITIAL)).otherwise(F.greatest(F.log((c(f"{g}_n") - 1) / every), -LETTER * F.length(g)))
+    nodes = reliable(nodes.join(families, ["campo", "nucleo"]).withColumn("nivel", level).withColumn("uso", use).withColumn("dados", F.coalesce(share("g1"), -LETTER * F.length("g1")) + F.coalesce(share("g2"), -LETTER * F.length("g2"))))
+
+    asking = nodes.where("length(nucleo) > 1").withColumn("passo", F.lit("")).withColumn("taxa", F.lit(0.0)).withColumn("outra", F.lit(False))
+    near, alt = reliable(near_families(families)), reliable(other_given(tokens))
+    mistyped = asking.join(near, ["campo", "nucleo"]).withColumn("outra", F.lit(True))
+    by = lambda df, g: df.join(alt.select(c("g").alias(g), c("outro").alias("_g"), c("passo").alias("_p"), c("taxa").alias("_t")), g).withColumn(g, c("_g")).withColumn("passo", c("_p")).withColumn("taxa", c("_t")).drop("_g", "_p", "_t")
+    said = asking.withColumn("outro", c("nucleo"))
+    other = [mistyped, by(said, "g1"), by(said, "g2"), by(mistyped, "g1").where("passo = 'apelido'")]
+    shown = ["no", "n", "campo", "nivel", "familia_n", "familia", "uso", "tipo", "formas", "dados", "passo", "taxa", "outra", F.length("nucleo").alias("letras"), F.greatest(F.length("g1"), F.length("g2")).alias("letras_g")]
+    ask = lambda df, exact: df.select(*shown, _key(F.lit(exact), "campo", c("tipo"), c("outro"), c("g1"), c("g2")).alias("chave"))
+    queries = ask(said, "a")
+    for df in other:
+        queries = queries.unionByName(ask(df, "a")).unionByName(ask(df, "x"))
+    met = queries.join(candidates(nodes), "chave").where(c("no") != c("c.no"))
+    rank = lambda at: F.struct(c(f"{at}nivel"), c(f"{at}familia_n"), c(f"{at}uso"), c(f"{at}n"), -c(f"{at}no"))
+    total = F.when(c("campo") == "autor", float(totals.get("autor") or 1)).otherwise(float(sum(n for k, n in totals.items() if k != "autor") or 1))
+    # Another person: one of the family name's others, or, if the candidate has another family name, one whose name is so near by chance.
+    own = math.log(NEW) + c("dados") + F.when(c("outra"), F.log(total) - LETTER * c("letras")).otherwise(F.log(F.greatest(c("familia_n") - c("n"), F.lit(1))))
+    kind = F.when(c("tipo") == c("c.tipo"), 0.0).when(c("c.tipo") == "editora", -PUBLISHER_LEFT_OUT).otherwise(-KIND_LEFT_OUT)
+    # Every further spelling of a family name tells of a name of its own, unless the other stands so often that its slips must be met.
+    repeated = ~c("outra") | (c("familia") == 1) | (F.log((c("c.familia_n") + 1) / (c("familia_n") + 1)) >= F.least(F.lit(MOST), AGAIN * (c("familia") - 1)))
+    scored = reliable(met.where((rank("c.") > rank("")) & repeated).select(
+        "no", c("c.no").alias("pai"), "formas", "passo", "outra", "taxa", "letras_g", own.alias("proprio"),
+        # One letter of the word became another: which one it is tells little of a name.
+        (F.log(c("c.n").cast("double")) + kind - F.when(c("outra"), F.log(26.0 * c("letras"))).otherwise(0.0)).alias("canal"),
+    ))
+
+    def best(likelihood: dict[str, float]) -> DataFrame:
+        step = F.when(c("outra"), math.log(likelihood["erro"])).otherwise(0.0)
+        for name, p in likelihood.items():
+            step = step + F.when(c("passo") == name, F.log(F.greatest(p / (26.0 * c("letras_g")), c("taxa"))) if name == "erro" else math.log(p)).otherwise(0.0)
+        posterior = F.round(c("canal") + step, 9)
+        return scored.where(posterior > c("proprio")).groupBy("no").agg(F.max_by(F.struct("pai", "formas", "passo", "outra"), F.struct(posterior, -c("pai"))).alias("m")).select("no", "m.*")
+
+    counted = best(STEPS).agg(*[F.sum(F.when((c("passo") == k) | (c("outra") if k == "erro" else F.lit(False)), c("formas")).otherwise(0)).alias(k) for k in STEPS]).first()
+    spellings = nodes.agg(F.sum("formas").alias("n")).first()["n"] or 0
+    learned = {k: ((counted[k] or 0) + WEIGHT * p) / (spellings + WEIGHT) for k, p in STEPS.items()}
+    return best(learned).select("no", "pai")
 
 
 def acronyms(forms: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -236,10 +294,12 @@ def entities(names: DataFrame, records: DataFrame) -> DataFrame:
     entities of their own; a nome_id listed twice counts once.  An empty table of
     records leaves all frequencies at one.
     """
-    forms = parsed(names, given_lexicon(names)).dropDuplicates(["nome_id"])
-    same = Window.partitionBy("campo", "tipo", "nucleo", "g1", "g2", F.when(F.col("nucleo") == "", F.concat_ws("|", "sigla", F.when(F.col("sigla") == "", F.col("nome_id")))))
-    forms = reliable(forms.withColumn("no", F.min("nome_id").over(same)))
-    nodes = reliable(forms.join(frequencies(records), ["campo", "nome"], "left").groupBy("no", "campo", "tipo", "nucleo", "g1", "g2").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.count("*").alias("formas")))
+    alone = F.when(F.col("nucleo") == "", F.concat_ws("|", "sigla", F.when(F.col("sigla") == "", F.col("nome_id")))).otherwise("")
+    forms = reliable(parsed(names).dropDuplicates(["nome_id"]).withColumn("forma", F.concat_ws("|", "campo", "tipo", "nucleo", "g1", "g2", alone)))
+    counted = forms.join(frequencies(records), ["campo", "nome"], "left")
+    nodes = reliable(counted.groupBy("forma", "campo", "tipo", "nucleo", "g1", "g2").agg(F.min("nome_id").alias("no"), F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.count("*").alias("formas")))
+    forms = forms.join(nodes.select("forma", "no"), "forma").drop("forma")
+    nodes = nodes.drop("forma")
     links = attribute(nodes).union(acronyms(forms, nodes)).groupBy("no").agg(F.min("pai").alias("pai"))
     root = reliable(nodes.select("no").join(links, "no", "left").select("no", F.coalesce("pai", "no").alias("pai")))
     while True:
