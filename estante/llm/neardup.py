@@ -29,6 +29,8 @@ SIMILARITY = 0.5
 EXPAND_COPIES = 64
 #: So many ids, of 8 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: So many texts of one band are compared with each other in one place; a larger band is cut in blocks.
+BLOCK = 2000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -165,6 +167,26 @@ def _of(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
+def _meeting(unique: DataFrame) -> DataFrame:
+    """a, b: the texts that share a band, each pair once.
+
+    Bands are counted first: those of one text are dropped and those of two are a
+    pair at once.  A band of more is cut in blocks of about BLOCK texts, and every
+    two blocks meet under a key of their own, so that no band stands in one task.
+    """
+    keys = unique.select("id", F.explode("faixas").alias("faixa"))
+    shared = reliable(keys.groupBy("faixa").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("a < b"))
+    many = shared.where("n > 2").select("faixa", F.ceil(F.col("n") / BLOCK).alias("blocos"))
+    kept = keys.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "faixa").withColumn("bloco", F.pmod(F.xxhash64("id"), "blocos"))
+    one = F.lit(1).cast("bigint")
+    left = kept.select("faixa", "id", F.col("bloco").alias("i"), F.explode(F.sequence("bloco", F.col("blocos") - one)).alias("j")).alias("l")
+    right = kept.select("faixa", "id", F.explode(F.sequence(one - one, "bloco")).alias("i"), F.col("bloco").alias("j")).alias("r")
+    l, r = F.col("l.id"), F.col("r.id")
+    same = (F.col("l.faixa") == F.col("r.faixa")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    pairs = left.join(right, same & ((F.col("l.i") < F.col("l.j")) & (l != r) | (l < r))).select(F.least(l, r).alias("a"), F.greatest(l, r).alias("b"))
+    return shared.where("n = 2").select("a", "b").union(pairs).distinct()
+
+
 def linked_texts(df: DataFrame, key: str = "conv_id", text: str = "markdown_completo", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links a, b between the first of each set of equal texts; and membership id, primeiro, copias.
 
@@ -176,9 +198,7 @@ def linked_texts(df: DataFrame, key: str = "conv_id", text: str = "markdown_comp
     first = made.groupBy("copia").agg(F.min("id").alias("primeiro"), F.count_distinct("id").alias("copias"))
     members = reliable(made.select("id", "copia").distinct().join(first, "copia").select("id", "primeiro", "copias"))
     unique = _of(made, members.where("id <> primeiro").select("id"), "left_anti")
-    keys = unique.select("id", F.explode("faixas").alias("faixa")).repartition("faixa")
-    left, right = keys.alias("l"), keys.alias("r")
-    met = left.join(right, (F.col("l.faixa") == F.col("r.faixa")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    met = _meeting(unique)
     marks = unique.select("id", "marca")
     both = met.join(marks.select(F.col("id").alias("a"), F.col("marca").alias("marca_a")), "a").join(marks.select(F.col("id").alias("b"), F.col("marca").alias("marca_b")), "b")
     likely = reliable(_plausible(both, similarity * 0.6).distinct())

@@ -60,6 +60,39 @@ def test_a_repeated_slip_in_a_frequent_family_name_is_linked(spark):
     assert got == {(a, b) for a in range(6) for b in range(a + 1, 6)} | {(6, 7)} | {(a, b) for k in (10, 13) for a in range(k, k + 3) for b in range(a + 1, k + 3)}
 
 
+def test_initials_that_are_also_particles_are_linked(spark):
+    assert linked(spark, ["Fernumol, Estevao", "E. Fernumol", "Fernumol, E. P.", "Fernumol, Estevao Plinio", "Zubrepol, Iris e Silva"]) == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+
+
+def test_recall_and_precision_on_planted_spellings(spark):
+    rng = random.Random(11)
+    syllables = [c + v for c in "b d f g l m n p r s t v z br dr gr pr tr".split() for v in "aeiou"]
+    given = ["Beatriz", "Caetano", "Helena", "Francisco", "Iris", "Eduardo", "Vicente", "Antônio", "Inês", "Joaquim", "Ludmila", "Plínio", "Renata", "Sérgio", "Tereza", "Úrsula"]
+    short = {"Beatriz": "Bia", "Francisco": "Chico", "Eduardo": "Dudu", "Antônio": "Toninho", "Joaquim": "Quim", "Sérgio": "Serginho", "Tereza": "Teca"}
+
+    def slip(w):
+        k = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+
+    spelt, of = [], {}
+    for person in range(350):
+        family = "".join(rng.choice(syllables) for _ in range(4)).capitalize()
+        g, h = rng.sample(given, 2)
+        h = h if rng.random() < 0.6 else ""
+        full = f"{family}, {g} {h}".strip()
+        forms = [full, full.upper(), full + " (org.)", f"{family}, {g[0]}.", f"{g} {h} {family}".replace("  ", " "), f"{family} {g}", f"{slip(family)}, {g}", f"{family}, {slip(g)}", f"{short.get(g, g)} {family}", f"{slip(family)}, {g[0]}.", f"Dra. {g} {family}"]
+        for name in {full, *rng.sample(forms, rng.randint(0, 4))}:
+            if name not in of:
+                of[name] = person
+                spelt.append(name)
+    names = spark.createDataFrame([(i, "autor", n, None) for i, n in enumerate(spelt)], "nome_id bigint, campo string, nome string, registro_id bigint")
+    # The spelling in full stands in most records.
+    records = spark.createDataFrame([record(i, autores=[n]) for i, n in enumerate(n for n in spelt for _ in range(4 if n.istitle() and "," in n and "." not in n else 1))], RECORD)
+    got = {tuple(r) for r in A.variant_pairs(names, records).collect()}
+    want = {(i, j) for i, a in enumerate(spelt) for j, b in enumerate(spelt) if i < j and of[a] == of[b]}
+    assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.99 * len(got)
+
+
 def test_one_edit_and_deletions_agree_with_brute_force(spark):
     rng = random.Random(2)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 6))) for _ in range(60)})
@@ -176,6 +209,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert D.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_a_hot_band_is_cut_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 4)
+    rng = random.Random(5)
+    stock = [f"p{k}" for k in range(60)]
+    texts = [" ".join(w if rng.random() > 0.03 else f"x{i}_{k}" for k, w in enumerate(stock)) for i in range(45)]
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(58)} for t in texts]
+    want = {(i, j) for i in range(45) for j in range(i + 1, 45) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    got = {tuple(r) for r in D.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "conv_id bigint, markdown_completo string")).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) > 500
+
+
 def test_many_copies_keep_their_links(spark, monkeypatch):
     monkeypatch.setattr(D, "EXPAND_COPIES", 3)
     df = spark.createDataFrame([(i, "a b c d e") for i in range(6)] + [(9, "a b c d e f")], "conv_id bigint, markdown_completo string")
