@@ -27,12 +27,14 @@ from estante.session import reliable
 
 # What was printed and what a scanner reads instead.
 CONFUSIONS = [
-    ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"), ("o", "0"), ("a", "á"), ("e", "c"), ("c", "e"), ("t", "f"), ("f", "t"), ("n", "ri"), ("s", "5"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("g", "9"), ("v", "y"), ("ã", "á"), ("õ", "ó"), ("ó", "6"), ("b", "6"), ("h", "li"), ("h", "b"), ("u", "ti"), ("z", "2"), ("b", "8"), ("q", "9"), ("w", "vv"), ("ç", "c"), ("rn", "m"), ("cl", "d"), ("ê", "é"), ("é", "ê"), ("í", "i"), ("i", "í"), ("nn", "m"), ("o", "c"),
+    ("i", "l"), ("l", "i"), ("l", "1"), ("i", "1"), ("o", "0"), ("a", "á"), ("e", "c"), ("c", "e"), ("t", "f"), ("f", "t"), ("n", "ri"), ("s", "5"), ("u", "ii"), ("m", "rn"), ("d", "cl"), ("g", "9"), ("v", "y"), ("ã", "á"), ("õ", "ó"), ("ó", "6"), ("b", "6"), ("h", "li"), ("h", "b"), ("u", "ti"), ("z", "2"), ("b", "8"), ("q", "9"), ("w", "vv"), ("ç", "c"), ("rn", "m"), ("cl", "d"), ("ê", "é"), ("é", "ê"), ("í", "i"), ("i", "í"), ("nn", "m"), ("o", "c"), ("ç", "c,"),
 ]
 #: Confusions that also arise by typing; alone they are no evidence of a scan.
 TYPED = {("ç", "c"), ("í", "i"), ("i", "í"), ("é", "ê"), ("ê", "é"), ("o", "c")}
 
 RATIO = 15
+#: The longest line of a page, and the share of a text that stands in lines cut at such a width if it was scanned.
+WIDTH, CUT_SHARE = 130, 0.3
 #: A word with this share of all words is trusted unless it is a misreading: there are at most 1 / TRUSTED_SHARE such words.
 TRUSTED_SHARE = 2e-6
 MOD = (1 << 61) - 1
@@ -85,11 +87,15 @@ def fold(line: str) -> str:
 
 
 def wrapped(text: str) -> bool:
-    """Whether the lines are cut at a width: several lines in a row of like length, none longer."""
+    """Whether lines are cut at a width: lines of a width that go on in the next, and hold a good part of the text.
+
+    A line beyond the width counts as one of that width, so a long heading, address
+    or row of a table among cut lines does not hide them.
+    """
     lines = text.split("\n")
-    if len(lines) < 8 or max(map(len, lines)) > 130:
-        return False
-    return sum(len(a) > 28 and len(b) > 0 and a[-1:] not in ".!?" for a, b in zip(lines, lines[1:])) >= 4
+    sizes = list(map(len, lines))
+    cut = [n for n, m, x in zip(sizes, sizes[1:], lines) if 28 < n <= WIDTH and 0 < m <= WIDTH and x[-1] not in ".!?"]
+    return len(cut) > 1 and sum(cut) >= CUT_SHARE * sum(n if n < WIDTH else WIDTH for n in sizes)
 
 
 def scanned(text: str) -> bool:
@@ -195,7 +201,7 @@ def corpus_words(df: DataFrame, text: str = "markdown_completo") -> DataFrame:
             for k in (0, 1):
                 for raw, n in counts[k].items():
                     w = raw.strip(STRIP)
-                    if w and len(w) <= 40:
+                    if w:
                         sums.setdefault(w, [0, 0])[k] += n
                 counts[k].clear()
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([a for a, _ in sums.values()], pa.int64()), pa.array([b for _, b in sums.values()], pa.int64())], names=["w", "limpo", "lido"])
@@ -237,9 +243,12 @@ def misread_words(words: DataFrame) -> DataFrame:
             keep = pa.array([m is not None and m[1] for m in made])
             yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns), pa.array([m[0] for m in made if m is not None and m[1]], pa.int64())], names=["w", "certo", "n", "passos"])
 
+    known = words.where(F.col("w").rlike(r"^[\p{L}\-]+$") & (F.col("limpo") > 0) & (F.col("limpo") + F.col("lido") >= RATIO)).select(F.col("w").alias("certo"), (F.col("limpo") + F.col("lido")).alias("n"))
+    # No confusion adds more than a character, so longer words than these are no misreading of any.
+    longest = (known.agg(F.max(F.length("certo")).alias("n")).first()["n"] or 0) + 2
     # In files that were not scanned a misreading does not occur, but for a stray one in many.
-    rare = words.where((F.col("lido") > 0) & (F.col("limpo") * 20 <= F.col("lido")) & F.col("w").rlike(r"\p{L}|^[0-9]$")).mapInArrow(expand, "w string, limpo bigint, lido bigint, h bigint")
-    right = words.where(F.col("w").rlike(r"^[\p{L}\-]+$") & (F.col("limpo") > 0) & (F.col("limpo") + F.col("lido") >= RATIO)).select(F.col("w").alias("certo"), (F.col("limpo") + F.col("lido")).alias("n")).mapInArrow(hashed, "certo string, n bigint, h bigint")
+    rare = words.where((F.col("lido") > 0) & (F.col("limpo") * 20 <= F.col("lido")) & (F.length("w") <= longest) & F.col("w").rlike(r"\p{L}|^[0-9]$")).mapInArrow(expand, "w string, limpo bigint, lido bigint, h bigint")
+    right = known.mapInArrow(hashed, "certo string, n bigint, h bigint")
     met = rare.join(right, "h").where((F.col("n") >= RATIO * (F.col("limpo") + F.col("lido"))) & (F.col("w") != F.col("certo"))).select("w", "certo", "n")
     best = Window.partitionBy("w").orderBy("passos", F.desc("n"), "certo")
     return met.mapInArrow(verify, "w string, certo string, n bigint, passos bigint").withColumn("k", F.row_number().over(best)).where("k = 1").select("w", "certo")

@@ -116,6 +116,15 @@ def test_scan_noise_on_planted_cases(spark):
     assert N.scan_noise(df.limit(0)).count() == 0
 
 
+def test_one_long_line_does_not_hide_a_scan(spark):
+    clean = "a primeira leitura dos documentos da biblioteca mostra que o argumento do trabalho depende da parte segundo consta dos registros constatou-se que continua na segunda casa e " * 40
+    long = scanned_page() + "\n\n" + "z" * 131
+    short = "A leitura dos documentos da bibliote-\nca mostra que o argumento do trabalho\ndepende da prirneira parte, segundo"
+    assert N.scanned(scanned_page()) and N.scanned(long) and N.scanned(short) and not N.scanned(clean) and not N.scanned("Uma linha\nOutra linha\n" * 9)
+    got = sorted(map(tuple, N.scan_noise(spark.createDataFrame([(1, long), (2, clean), (3, short), (4, "w" * 50_000)], "conv_id bigint, markdown_completo string")).collect()))
+    assert got == [(1, 3, "hifen"), (1, 5, "caractere"), (1, 8, "pagina"), (1, 10, "cabecalho"), (3, 1, "hifen"), (3, 3, "caractere")]
+
+
 def test_beginnings_are_repaired_by_the_words_of_the_whole(spark):
     clean = "a primeira leitura dos documentos da biblioteca mostra que o argumento do trabalho depende da parte segundo consta dos registros constatou-se que continua na segunda casa e " * 80
     short = "\n".join(scanned_page().split("\n")[:6])
