@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from estante.llm import canonical as C
 from estante.llm import mixing as M
@@ -245,19 +246,29 @@ def test_pfair_deviates_by_less_than_a_block():
         assert all(abs(done[x] - weights[x] * (slot + 1)) < 1 for x in weights)
 
 
+def test_the_plan_does_not_grow_with_the_corpus():
+    made = M.plan({"a": 10**15, "b": 10**15}, {"a": (0.123456789, 1), "b": (0.3, 1)})
+    weights = M.in_parts({"a": Fraction("0.123456789") / Fraction("0.423456789"), "b": Fraction("0.3") / Fraction("0.423456789")})
+    assert len(made["schedule"]) == made["period"] <= M.PERIOD and sum(weights.values()) == 1 and abs(weights["a"] - Fraction("0.123456789") / Fraction("0.423456789")) <= Fraction(1, M.PERIOD)
+    assert sorted(slot for _, _, slot in made["schedule"]) == list(range(made["period"]))
+
+
 def test_mix_reaches_the_shares(spark):
     rng = random.Random(7)
     rows = [(i, rng.choices(["a", "b", "c"], [70, 25, 5])[0], rng.randint(1, 60)) for i in range(3000)] + [(9001, None, 5), (9002, "z", 5), (9003, "a", 0), (9004, "a", None)]
     sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
     goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 4), ("ausente", 0.1, 3), (None, 0.5, 1)], "source string, peso double, max_repeticoes int")
-    mixed = M.mix(sizes, goal).cache()
+    block = 500
+    mixed = M.mix(sizes, goal, block).cache()
     part = {r["source"]: r for r in M.shares(mixed, goal).collect()}
     assert part["ausente"]["tokens"] == 0 and all(abs(part[s]["parte"] - w / 0.9) < 0.01 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.1)))
     used = mixed.groupBy("source", "doc_id").count().collect()
     assert all(r["count"] <= {"a": 1, "b": 2, "c": 4}[r["source"]] for r in used)
-    total, at, block = sum(part[s]["tokens"] for s in "abc"), dict.fromkeys("abc", 0), max(1, -(-sum(part[s]["tokens"] for s in "abc") // M.BLOCKS))
-    for r in sorted(mixed.collect(), key=lambda r: (r["slot"], r["deslocamento"])):
-        at[r["source"]] += r["n_tokens"]
-        so_far = sum(at.values())
-        assert abs(at["a"] - so_far * 0.5 / 0.9) < 3 * block + 180
+    total = sum(part[s]["tokens"] for s in "abc")
+    got = {(r["slot"], r["source"]): r["t"] for r in mixed.groupBy("slot", "source").agg(F.sum("n_tokens").alias("t")).collect()}
+    at = dict.fromkeys("abc", 0)
+    for slot in range(total // block):
+        for s, w in (("a", 5 / 9), ("b", 3 / 9), ("c", 1 / 9)):
+            at[s] += got.get((slot, s), 0)
+            assert abs(at[s] - w * (slot + 1) * block) < block + 60
     assert total > 0 and M.mix(sizes.limit(0), goal).count() == 0 and M.mix(sizes, goal.limit(0)).count() == 0
