@@ -9,7 +9,10 @@ entries; the best counts if its score is high enough, else the value means none.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from estante.session import reliable
@@ -31,7 +34,11 @@ ALIASES = {
     "Fitotecnia": "plant science;crop science", "Irrigação": "irrigation", "Solos": "soil science;pedologia agricola;ciencia do solo;pedologia", "Zootecnia": "animal science;producao animal", "Agroecologia": "agroecology",
 }
 LEAST = 0.74
+#: A repeated token that stands more than 1 / OWN as often as the words at one edit is a word of its own.
+OWN = 12
 SALT = 16
+#: So many distinct values with their options are broadcast; more are joined by a shuffle. So many rows at most a canonical list has.
+BROADCAST_VALUES, LIST_ROWS = 200_000, 100_000
 
 
 def folded(c: Column) -> Column:
@@ -59,91 +66,132 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | (n == F.length(b)) & (F.levenshtein(a, b) == 2) & swap
 
 
-def reference(areas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Names nid, area_id, nivel, pai, exato; and their tokens nid, ref, w (IDF), norma."""
-    spark = areas.sparkSession
-    listed = areas.where("area_id is not null and nome is not null").select("area_id", "nivel", F.col("area_pai").alias("pai"), "nome")
-    others = spark.createDataFrame([(k, a) for k, v in ALIASES.items() for a in v.split(";")], "nome string, outro string")
-    names = listed.select("*", F.col("nome").alias("dito"), F.lit(1).alias("exato")).union(listed.join(F.broadcast(others), "nome").select("area_id", "nivel", "pai", "nome", F.col("outro").alias("dito"), F.lit(0).alias("exato")))
-    names = names.withColumn("nid", F.concat_ws("|", "area_id", "dito"))
-    words = names.select("nid", F.explode(tokens("dito")).alias("ref"))
-    total = names.agg(F.count("*").alias("total"))
-    idf = words.groupBy("ref").agg(F.count("*").alias("df")).join(F.broadcast(total), how="left", on=F.lit(True)).select("ref", F.log(1 + F.col("total") / F.col("df")).alias("w"))
-    words = words.join(idf, "ref")
-    norm = words.groupBy("nid").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norma"))
-    # Small tables that many joins read: kept, so that they are not planned and made again in each.
-    return reliable(names.select("nid", "area_id", "nivel", "pai", "exato")), reliable(words.join(norm, "nid"))
-
-
-def repair_tokens(found: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """t, ref, sim: the words of the vocabulary that each distinct token may mean; found: t, with a dot if abbreviated."""
+class Reference:
+    """The canonical list with its other names, cut in tokens: small relations that every join broadcasts.
+
+    The list is a dimension written by people; it is counted, and more than LIST_ROWS
+    rows are refused rather than gathered.
+    """
+
+    def __init__(self, areas: DataFrame, aliases: dict[str, str] | None = None):
+        spark = areas.sparkSession
+        listed = areas.where("area_id is not null and nome is not null").select("area_id", "nivel", F.col("area_pai").alias("pai"), "nome").distinct()
+        if (n := listed.count()) > LIST_ROWS:
+            raise ValueError(f"a canonical list of {n} rows is no dimension")
+        others = spark.createDataFrame([(k, a) for k, v in (ALIASES if aliases is None else aliases).items() for a in v.split(";")], "nome string, outro string")
+        named = listed.select("*", F.col("nome").alias("dito"), F.lit(1).alias("exato")).union(listed.join(F.broadcast(others), "nome").select("area_id", "nivel", "pai", "nome", F.col("outro").alias("dito"), F.lit(0).alias("exato")))
+        rows = [(i, *r) for i, r in enumerate(named.select("area_id", "nivel", "pai", "exato", tokens(F.col("dito")).alias("ts")).orderBy("area_id", F.desc("exato"), "dito").collect())]
+        df = Counter(t for r in rows for t in r[-1])
+        weight = {t: math.log(1 + len(rows) / n) for t, n in df.items()}
+        norm = [math.sqrt(sum(weight[t] ** 2 for t in r[-1])) for r in rows]
+        keys = [("=" + t, t) for t in df] + [("-" + k, t) for t in df if len(t) >= 4 for k in {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}] + [("^" + t[:n], t) for t in df if len(t) >= 4 for n in range(2, len(t))]
+        self.heaviest, self.longest = max(weight.values(), default=1.0), max(map(len, df), default=0)
+        self.names = spark.createDataFrame([r[:-1] for r in rows], "nid int, area_id bigint, nivel string, pai string, exato int")
+        self.words = spark.createDataFrame([(r[0], t, weight[t], norm[r[0]]) for r in rows for t in r[-1]], "nid int, ref string, w double, norma double")
+        self.lookup = spark.createDataFrame([(k, t, weight[t]) for k, t in keys], "k string, ref string, w double")
+
+
+def repair_tokens(found: DataFrame, reference: Reference) -> DataFrame:
+    """t, refs: the words of the list that each distinct token may mean, with weight and sim; found: t, with a dot if abbreviated, and n, how often it stands.
+
+    A token that is a word of the list means that word only, and an abbreviation the
+    words it begins, if there are any.  A token longer than the longest word and a
+    character is at no edit from any.  One that stands again and again, and more than
+    a twelfth as often as every word at one edit, is no slip of them but another word.
+    """
+    c = F.col
+    size = F.length("b")
+    none = F.array().cast("array<string>")
+    edits = F.when(size.between(4, reference.longest + 1), F.transform(lacking_one(F.substring("b", 1, reference.longest + 1)), lambda x: F.concat(F.lit("-"), x))).otherwise(none)
+    begun = (size >= 4) | (size >= 2) & c("t").endswith(".")
+    keys = F.concat(F.array(F.concat(F.lit("="), "b")), edits, F.when(begun, F.array(F.concat(F.lit("^"), "b"))).otherwise(none))
     bare = reliable(found.withColumn("b", F.regexp_replace("t", "\\.", "")))
-    vocabulary = reliable(vocabulary)
-    equal = reliable(bare.join(vocabulary, F.col("b") == F.col("ref")).select("t", "ref", F.lit(1.0).alias("sim")))
-    rest = reliable(bare.join(equal.select("t").distinct(), "t", "left_anti"))
-    near = (
-        rest.where(F.length("b") >= 4).select("t", "b", F.explode(lacking_one(F.col("b"))).alias("k"))
-        .join(vocabulary.where(F.length("ref") >= 4).select("ref", F.explode(lacking_one(F.col("ref"))).alias("k")), "k")
-        .select("t", "b", "ref").distinct()
-        .where(one_edit(F.col("b"), F.col("ref")))
-        .select("t", "ref", F.when(F.length("b") == F.length("ref"), 0.9).otherwise(0.91).alias("sim"))
-    )
-    starts = vocabulary.where(F.length("ref") >= 4).select("ref", F.explode(F.transform(F.sequence(F.lit(2), F.length("ref") - 1), lambda n: F.substring(F.col("ref"), F.lit(1), n))).alias("b"))
-    begun = rest.where((F.length("b") >= 4) | (F.length("b") >= 2) & F.col("t").endswith(".")).join(starts, "b").select("t", "ref", (0.85 + 0.1 * F.length("b") / F.length("ref")).alias("sim"))
-    return equal.union(near).union(begun).groupBy("t", "ref").agg(F.max("sim").alias("sim"))
-
-
-def resolve(values: DataFrame, areas: DataFrame, least: float = LEAST) -> DataFrame:
-    """v, campo, opcoes: for each distinct value the entries within reach of the best score, best first."""
-    names, words = reference(areas)
-    each = reliable(values.select("v").distinct().select("v", F.explode(tokens(F.col("v"))).alias("t")))
-    matches = reliable(repair_tokens(each.select("t").distinct(), words.select("ref").distinct()))
+    spoken = bare.join(F.broadcast(reference.words.select(c("ref").alias("b")).distinct()), "b").groupBy(c("b").alias("ref")).agg(F.sum("n").alias("dito"))
+    met = bare.where(size <= reference.longest + 1).withColumn("k", F.explode(keys)).join(F.broadcast(reference.lookup), "k")
+    how = F.substring("k", 1, 1)
+    sim = F.when(how == "=", 1.0).when(how == "^", 0.85 + 0.1 * size / F.length("ref")).when(one_edit(c("b"), c("ref")), F.when(size == F.length("ref"), 0.9).otherwise(0.91))
+    each = met.select("t", "n", "ref", "w", how.alias("como"), sim.alias("sim")).where("sim is not null").distinct().join(F.broadcast(spoken), "ref", "left")
+    refs = each.groupBy("t", "n").agg(F.collect_list(F.struct("ref", "w", "sim", "como", F.coalesce("dito", F.lit(0)).alias("dito"))).alias("r"))
+    of = lambda sign: F.filter("r", lambda x: x["como"] == sign)
+    seen = F.coalesce(F.array_max(F.transform(of("-"), lambda x: x["dito"])), F.lit(0))
+    own = (c("n") > 1) & (c("n") * OWN > seen)
+    chosen = F.when(F.size(of("=")) > 0, of("=")).when(own | c("t").endswith(".") & (F.size(of("^")) > 0), of("^")).otherwise(c("r"))
+    best = F.array_distinct(F.transform(chosen, lambda x: F.struct(x["ref"].alias("ref"), x["w"].alias("w"), F.array_max(F.transform(F.filter(chosen, lambda y: y["ref"] == x["ref"]), lambda y: y["sim"])).alias("sim"))))
+    return refs.select("t", best.alias("refs"))
+
+
+def resolve(rows: DataFrame, areas: DataFrame, least: float = LEAST, aliases: dict[str, str] | None = None) -> DataFrame:
+    """v, campo, opcoes: for each distinct value that is no entry byte for byte all entries within reach of the best score, best first.
+
+    rows: v, campo of all records, entries included: what is said how often tells slips from words.
+    """
+    c = F.col
+    known = Reference(areas, aliases)
+    counted = reliable(rows.groupBy("v", "campo").agg(F.count("*").alias("n")))
+    values = counted.select("v", "campo").join(F.broadcast(_entries(areas)), "v", "left_anti")
+    spoken = reliable(counted.groupBy("v").agg(F.sum("n").alias("n")).select("v", "n", F.explode(tokens(c("v"))).alias("t")))
+    matches = repair_tokens(spoken.groupBy("t").agg(F.sum("n").alias("n")), known)
     # A token weighs as the word it is taken for; one that finds none in the name as the rarest it may mean, or as a word of one name.
-    heaviest = words.agg(F.max("w").alias("most"))
-    alone = matches.join(words.select("ref", "w").distinct(), "ref").groupBy("t").agg(F.max("w").alias("w"))
-    each = reliable(each.join(alone, "t", "left").join(F.broadcast(heaviest), how="left", on=F.lit(True)).select("v", "t", F.coalesce("w", "most").alias("own")))
-    size = each.groupBy("v").agg(F.sum(F.col("own") ** 2).alias("tamanho"))
-    hits = each.join(matches, "t").join(words, "ref").groupBy("v", "nid", "t", "own", "norma").agg(F.max(F.struct((F.col("sim") * F.col("w") * F.col("w")).alias("s"), "w")).alias("h"))
-    sums = hits.groupBy("v", "nid", "norma").agg(F.sum("h.s").alias("s"), F.sum(F.col("h.w") ** 2 - F.col("own") ** 2).alias("outro"))
-    scored = sums.join(size, "v").withColumn("nota", F.round(F.col("s") / F.col("norma") / F.sqrt(F.col("tamanho") + F.col("outro")), 6)).where(F.col("nota") >= least)
-    scored = reliable(scored)
-    scored = scored.join(names, "nid").groupBy("v", "area_id", "nivel", "pai").agg(F.max(F.struct("nota", "exato")).alias("m"))
-    scored = values.select("v", "campo").distinct().join(scored, "v").withColumn("mesmo", (F.col("nivel") == F.when(F.col("campo") == "area_principal", "area").otherwise("subarea")).cast("int"))
-    order = Window.partitionBy("v", "campo").orderBy(F.desc("m.nota"), F.desc("mesmo"), F.desc("m.exato"), "area_id")
-    ranked = scored.withColumn("k", F.row_number().over(order)).withColumn("melhor", F.max("m.nota").over(Window.partitionBy("v", "campo")))
-    close = ranked.where((F.col("k") <= 6) & (F.col("m.nota") >= F.col("melhor") - 0.02))
-    return close.groupBy("v", "campo").agg(F.array_sort(F.collect_list(F.struct("k", "area_id", "pai"))).alias("opcoes"))
+    own = F.coalesce(F.array_max(F.transform("refs", lambda r: r["w"])), F.lit(known.heaviest))
+    each = reliable(spoken.join(values.select("v").distinct(), "v", "left_semi").join(matches, "t", "left").select("v", "t", own.alias("own"), "refs"))
+    size = each.groupBy("v").agg(F.sum(c("own") ** 2).alias("tamanho"))
+    hits = each.select("v", "t", "own", F.explode("refs").alias("r")).select("v", "t", "own", "r.ref", "r.sim").join(F.broadcast(known.words), "ref")
+    hits = hits.groupBy("v", "nid", "t", "own", "norma").agg(F.max(F.struct((c("sim") * c("w") * c("w")).alias("s"), "w")).alias("h"))
+    sums = hits.groupBy("v", "nid", "norma").agg(F.sum("h.s").alias("s"), F.sum(c("h.w") ** 2 - c("own") ** 2).alias("outro"))
+    scored = sums.join(size, "v").withColumn("nota", F.round(c("s") / c("norma") / F.sqrt(c("tamanho") + c("outro")), 6)).where(c("nota") >= least)
+    scored = scored.join(F.broadcast(known.names), "nid").groupBy("v", "area_id", "nivel", "pai").agg(F.max(F.struct("nota", "exato")).alias("m"))
+    asked = values.join(scored, "v").withColumn("mesmo", (c("nivel") == F.when(c("campo") == "area_principal", "area").otherwise("subarea")).cast("int"))
+    # At most the whole list stands in one row.
+    ranked = asked.groupBy("v", "campo").agg(F.array_sort(F.collect_list(F.struct((-c("m.nota")).alias("menos"), (-c("mesmo")).alias("b"), (-c("m.exato")).alias("c"), "area_id", "pai"))).alias("o"))
+    return ranked.select("v", "campo", F.transform(F.filter("o", lambda x: x["menos"] <= c("o")[0]["menos"] + 0.02), lambda x: F.struct(x["area_id"].alias("area_id"), x["pai"].alias("pai"))).alias("opcoes"))
+
+
+def _entries(areas: DataFrame) -> DataFrame:
+    """v: the names of the list, a fixed dimension with one row for each."""
+    return areas.where("nome is not null").select(F.col("nome").alias("v")).distinct()
+
+
+def _values(records: DataFrame) -> DataFrame:
+    """registro_id, campo, v, pai_dito: each value that is not blank."""
+    pairs = F.array(F.struct(F.lit("area_principal").alias("campo"), F.col("area_principal").alias("v")), F.struct(F.lit("subarea").alias("campo"), F.col("subarea").alias("v")))
+    every = records.where("registro_id is not null").select("registro_id", F.col("area_principal").alias("pai_dito"), F.explode(pairs).alias("x")).select("registro_id", "x.campo", "x.v", "pai_dito")
+    return every.where(F.col("v").isNotNull() & (F.regexp_replace("v", "(?U)[\\s\\x{200b}-\\x{200f}\\x{feff}]", "") != ""))
+
+
+def _cases(records: DataFrame, areas: DataFrame) -> DataFrame:
+    """registro_id, campo, v, pai_dito: each value that is not blank and not the name of an entry byte for byte."""
+    return _values(records).join(F.broadcast(_entries(areas)), "v", "left_anti")
 
 
 def free_values(records: DataFrame, areas: DataFrame) -> DataFrame:
-    """registro_id, campo, v, pai: values that are not blank and not the name of an entry byte for byte."""
-    # The list is a fixed dimension, one row for each canonical name.
-    known = areas.where("nome is not null").select(F.col("nome").alias("v")).distinct()
-    pairs = F.array(F.struct(F.lit("area_principal").alias("campo"), F.col("area_principal").alias("v")), F.struct(F.lit("subarea").alias("campo"), F.col("subarea").alias("v")))
-    every = records.where("registro_id is not null").select("registro_id", F.col("area_principal").alias("pai_dito"), F.explode(pairs).alias("x")).select("registro_id", "x.campo", "x.v", "pai_dito")
-    return every.where(F.col("v").isNotNull() & (F.regexp_replace("v", "(?U)[\\s\\x{200b}-\\x{200f}\\x{feff}]", "") != "")).join(F.broadcast(known), "v", "left_anti").groupBy("registro_id", "campo", "v").agg(F.min("pai_dito").alias("pai_dito"))
+    """registro_id, campo, v, pai: the cases, one row for each value of a record."""
+    return _cases(records, areas).groupBy("registro_id", "campo", "v").agg(F.min("pai_dito").alias("pai_dito"))
 
 
-def map_to_list(records: DataFrame, areas: DataFrame) -> DataFrame:
+def map_to_list(records: DataFrame, areas: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """registro_id, campo, area_id: the entry each free value means, 0 if none.
 
     A record delivered more than once counts once for each different value (its
     latest reading of the list wins by the smaller area_id only if values differ).
     Null and blank values are no cases.  Between entries of like score the one of
-    the record's own area is preferred, then the first of the list.
+    the record's own area is preferred, then the first of the list.  aliases: other
+    names of entries, separated by semicolons; None takes those of ALIASES.
     """
-    values = reliable(free_values(records, areas))
-    found = reliable(resolve(reliable(values.select("v", "campo").distinct()), areas))
-    # A frequent value would stand in one task: the rows are salted, the small table of distinct values is repeated.
-    rows = values.withColumn("sal", F.pmod(F.xxhash64("registro_id"), F.lit(SALT)))
-    many = found.withColumn("sal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+    rows = _cases(records, areas)
+    found = reliable(resolve(_values(records), areas, aliases=aliases))
+    if found.count() <= BROADCAST_VALUES:
+        met = rows.join(F.broadcast(found), ["v", "campo"], "left")
+    else:
+        # A frequent value would stand in one task: the rows are salted, the table of distinct values is repeated.
+        many = found.withColumn("sal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+        met = rows.withColumn("sal", F.pmod(F.xxhash64("registro_id"), F.lit(SALT))).join(many, ["v", "campo", "sal"], "left")
     own = F.filter("opcoes", lambda o: o["pai"] == F.col("pai_dito"))
     chosen = F.when(F.size(own) > 0, own[0]["area_id"]).otherwise(F.col("opcoes")[0]["area_id"])
-    return rows.join(many, ["v", "campo", "sal"], "left").select("registro_id", "campo", F.coalesce(chosen, F.lit(0)).cast("bigint").alias("area_id")).groupBy("registro_id", "campo").agg(F.max("area_id").alias("area_id"))
+    return met.select("registro_id", "campo", F.coalesce(chosen, F.lit(0)).cast("bigint").alias("area_id")).groupBy("registro_id", "campo").agg(F.max("area_id").alias("area_id"))
 
 
 def unmatched(records: DataFrame, areas: DataFrame) -> DataFrame:
     """campo, valor, registros: the values that mean no entry, with how many records hold each."""
     values = free_values(records, areas)
-    found = resolve(values.select("v", "campo").distinct(), areas).select("v", "campo")
+    found = resolve(_values(records), areas).select("v", "campo")
     return values.groupBy("v", "campo").agg(F.count("*").alias("registros")).join(found, ["v", "campo"], "left_anti").select("campo", F.col("v").alias("valor"), "registros")

@@ -120,6 +120,21 @@ def test_free_values_are_mapped(spark):
     assert {r["area_id"] for r in C.map_to_list(records, areas.limit(0)).collect()} == {0}
 
 
+def test_other_words_and_abbreviations_are_no_slips(spark):
+    areas = spark.createDataFrame([*AREAS, (41, "subarea", "Ecologia", "Biologia"), (63, "subarea", "Cinema", "Artes")], "area_id bigint, nivel string, nome string, area_pai string")
+    said = ["Ecologia"] * 40 + ["ecologia"] * 4 + ["Enologia"] * 8 + ["Ecollogia", "Ecolgia", "Ecolgia", "Filo.", "Filo."]
+    got = {r["registro_id"]: r["area_id"] for r in C.map_to_list(spark.createDataFrame([record(i, subarea=v) for i, v in enumerate(said)], RECORD), areas).collect()}
+    assert got == {i: {"Enologia": 0, "Filo.": 2}.get(v, 41) for i, v in enumerate(said) if v != "Ecologia"}
+
+
+def test_every_entry_within_reach_is_an_option(spark):
+    names = [f"Estudos de Casa{c}" for c in "abcdefghij"]
+    areas = spark.createDataFrame([(i, "area", f"Area{i}x", None) for i in range(10)] + [(20 + i, "subarea", n, f"Area{i}x") for i, n in enumerate(names)], "area_id bigint, nivel string, nome string, area_pai string")
+    rows = [record(i, area_principal=f"Area{i}x", subarea="Estudos de Casa") for i in range(10)]
+    got = {r["registro_id"]: r["area_id"] for r in C.map_to_list(spark.createDataFrame(rows, RECORD), areas).collect()}
+    assert got == {i: 20 + i for i in range(10)}
+
+
 def test_subjects_of_planted_topics(spark):
     rng = random.Random(3)
     topics = {1: ["terapia", "trauma", "escuta", "luto", "apego"], 2: ["virtude", "estoicismo", "ontologia", "dialética", "niilismo"], 3: ["retrato", "aquarela", "teatro", "dança", "mosaico"]}
