@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,18 @@ class Tables:
             parts = unicodedata.decomposition(chr(cp)).split()
             if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(int(parts[0], 16)) + chr(int(parts[1], 16))) == chr(cp):
                 pairs[int(parts[0], 16) << 21 | int(parts[1], 16)] = cp
+        # Canonical order of marks, and the full decompositions of the composites.
+        self.rank = np.zeros(TOP, np.uint8)
+        for cp in np.flatnonzero(self.kind == MARK):
+            self.rank[cp] = unicodedata.combining(chr(cp))
+        self.parts = np.ones(TOP, np.uint8)
+        self.apart = np.zeros(TOP, np.int32)
+        single: list[int] = []
+        for cp in pairs.values():
+            flat = unicodedata.normalize("NFD", chr(cp))
+            self.parts[cp], self.apart[cp] = len(flat), len(single)
+            single += map(ord, flat)
+        self.single = np.array(single or [0], np.int32)
         keys = np.array(sorted(pairs), np.int64)
         self.pair, self.composed = keys, np.array([pairs[k] for k in keys], np.int32)
 
@@ -133,16 +146,61 @@ def _words(points: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray,
     return (twin > 0) & (latin | ~foreign)[word], twin, word
 
 
-def suspects(column: pa.Array) -> np.ndarray:
-    """For each string, whether it holds a character that should come out otherwise."""
-    t = tables()
-    points, ends = code_points(column)
-    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    if not len(points):
-        return np.zeros(len(ends) - 1, bool)
-    alike, _, _ = _words(points, row, t)
-    odd = t.replaced[points] | (t.kind[points] == MARK) | alike
-    return np.bincount(row, odd, len(ends) - 1) > 0
+def _hangul(out: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Syllables for a leading consonant and a vowel, then for these and a final consonant, by arithmetic."""
+    for last in (False, True):
+        first, second = out[:-1], out[1:]
+        if last:
+            joins = (first >= 0xAC00) & (first < 0xD7A4) & ((first - 0xAC00) % 28 == 0) & (second > 0x11A7) & (second < 0x11C3)
+        else:
+            joins = (first >= 0x1100) & (first < 0x1113) & (second >= 0x1161) & (second < 0x1176)
+        at = np.flatnonzero(joins & (row[:-1] == row[1:]))
+        if len(at):
+            out[at] = out[at] + out[at + 1] - 0x11A7 if last else 0xAC00 + ((out[at] - 0x1100) * 21 + out[at + 1] - 0x1161) * 28
+            keep = np.ones(len(out), bool)
+            keep[at + 1] = False
+            out, row = out[keep], row[keep]
+    return out, row
+
+
+def _composed(out: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Marks in canonical order, each joined with the character it belongs to where a composed one exists."""
+    if len(out) < 2 or not len(t.pair):
+        return out, row
+    mark = t.kind[out] == MARK
+    if not mark.any():
+        return out, row
+    # A composed letter before a mark is taken apart, for the mark may belong before its own.
+    lone = np.ones(len(out), np.int64)
+    before = np.flatnonzero(mark[1:] & (row[1:] == row[:-1]))
+    lone[before] = t.parts[out[before]]
+    start = np.cumsum(lone) - lone
+    source = np.repeat(np.arange(len(out)), lone)
+    within = np.arange(len(source)) - start[source]
+    out, row = np.where(lone[source] > 1, t.single[np.minimum(t.apart[out[source]] + within, len(t.single) - 1)], out[source]), row[source]
+    rank = np.where(t.kind[out] == MARK, t.rank[out], 0)
+    head = rank == 0
+    head[0] = True
+    head[1:] |= row[1:] != row[:-1]
+    group = np.cumsum(head) - 1
+    order = np.lexsort((np.arange(len(out)), rank, group))
+    out, rank = out[order], rank[order]
+    base = np.flatnonzero(head)
+    place = np.arange(len(out)) - base[group]
+    keep, last = np.ones(len(out), bool), np.zeros(len(base), np.uint8)
+    by_place = np.argsort(place, kind="stable")
+    ends = np.cumsum(np.bincount(place))
+    for k in range(1, len(ends)):
+        at = by_place[ends[k - 1] : ends[k]]
+        g = group[at]
+        key = out[base[g]].astype(np.int64) << 21 | out[at]
+        found = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
+        # A mark of the same rank between them keeps two apart.
+        hit = (t.pair[found] == key) & (last[g] != rank[at])
+        out[base[g[hit]]] = t.composed[found[hit]]
+        keep[at[hit]] = False
+        last[g[~hit]] = rank[at[~hit]]
+    return out[keep], row[keep]
 
 
 def normalise(column: pa.Array) -> pa.Array:
@@ -162,24 +220,14 @@ def normalise(column: pa.Array) -> pa.Array:
     cp = points[source]
     out = np.where(t.replaced[cp], t.pool[np.minimum(t.offset[cp] + within, len(t.pool) - 1)], np.where(alike[source], twin[source], cp))
     row = row[source]
-    # Composition: a mark joins the code point before it, as often as marks follow each other.
-    while len(out) > 1 and len(t.pair):
-        mark = t.kind[out] == MARK
-        mark[0] = False
-        first = mark.copy()
-        first[1:] &= ~mark[:-1] & (row[1:] == row[:-1])
-        at = np.flatnonzero(first)
-        key = out[at - 1].astype(np.int64) << 21 | out[at]
-        found = np.minimum(np.searchsorted(t.pair, key), len(t.pair) - 1)
-        hit = t.pair[found] == key
-        if not hit.any():
-            break
-        out[at[hit] - 1] = t.composed[found[hit]]
-        keep = np.ones(len(out), bool)
-        keep[at[hit]] = False
-        out, row = out[keep], row[keep]
+    out, row = _composed(*_hangul(out, row), t)
     made = to_strings(out, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=count))]).astype(np.int64))
-    return pa.compute.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
+    return pc.if_else(column.is_null(), pa.scalar(None, pa.string()), made)
+
+
+def suspects(column: pa.Array) -> np.ndarray:
+    """For each string, whether it comes out otherwise; null does not."""
+    return pc.fill_null(pc.not_equal(normalise(column), column), False).to_numpy(zero_copy_only=False)
 
 
 #: Any character outside printable ASCII, the Latin letters of western Europe, ordinals, superscripts, quotes and dashes: without one, nothing is to be done.
@@ -187,7 +235,7 @@ MAYBE = "[^\\n\\r\\t -~ªº²³¹°§«»À-ÖØ-öø-ÿŒœŠšŽž‐-‛“-
 
 
 def find_lookalikes(df: DataFrame, key: str = "registro_id") -> DataFrame:
-    """key, campo: the rows whose titulo or an element of autores holds look-alike characters.
+    """key, campo: the rows whose titulo or an element of autores comes out of the normalisation otherwise.
 
     A key delivered more than once counts once per campo.  Null and empty values,
     null elements and empty lists are no cases; other columns are not read.
@@ -211,7 +259,7 @@ def normalise_records(df: DataFrame, key: str = "registro_id") -> DataFrame:
         for batch in batches:
             names = batch.column(2)
             flat = normalise(names.flatten()) if len(names) else names.flatten()
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(names), 0).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(names), 0).to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=names.is_null()) if len(names) else names
             yield pa.RecordBatch.from_arrays([batch.column(0), normalise(batch.column(1)), lists], names=[key, "titulo", "autores"])
