@@ -8,17 +8,21 @@ L2 penalty is fitted to a bounded sample of graded documents and gives the level
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RARITY_BUCKETS = 1 << 16
+from estante.session import reliable
+
+#: Words of this share of all words, of which there are at most 1 / KNOWN_SHARE, have a rarity of their own; the others are all as rare as that.
+KNOWN_SHARE = 2e-6
 MAX_LABELS = 20_000
 PENALTY = 0.02
 
@@ -38,6 +42,7 @@ BLANK = re.compile(r"\n[ \t]*\n")
 ENDING = re.compile(r"[.!?…]")
 PUNCTUATION, CLOSING, ENDS = "¡¿.,;:!?…\"“”‘’'()[]{}<>«»*_#/|\\–—-", "\"”’')]»", (".", "!", "?", "…")
 FEATURES = 14
+RAREST = -math.log(KNOWN_SHARE)
 
 
 def prose(text: str | None) -> str:
@@ -69,7 +74,7 @@ class _Lexicon:
 
     LIMIT = 400_000
 
-    def __init__(self, rarity: np.ndarray | None):
+    def __init__(self, rarity: dict[str, float] | None):
         self.rarity = rarity
         self.clear()
 
@@ -89,7 +94,7 @@ class _Lexicon:
                     known[t] = len(self.rows)
                     w = t.strip(PUNCTUATION)
                     is_word = any(c.isalpha() for c in w)
-                    rare = float(self.rarity[bucket(w)]) if is_word and self.rarity is not None else 0.0
+                    rare = self.rarity.get(w, RAREST) if is_word and self.rarity is not None else 0.0
                     self.rows.append((self.words.setdefault(w, len(self.words)), is_word, len(w) * is_word, rare, w in CONNECTIVES, sum(map(t.count, ",;:")), t.rstrip(CLOSING)[-1:] in ENDS))
             return [known[t] for t in tokens]
 
@@ -147,44 +152,31 @@ def features(texts: list[str | None], lexicon: _Lexicon) -> tuple[np.ndarray, np
     return keep, np.column_stack(x)
 
 
-_buckets: dict[str, int] = {}
-
-
-def bucket(word: str) -> int:
-    if (b := _buckets.get(word)) is None:
-        b = xxhash.xxh32_intdigest(word) % RARITY_BUCKETS
-        if len(_buckets) < 500_000:
-            _buckets[word] = b
-    return b
-
-
-def flush(words: Counter[str], sums: np.ndarray) -> None:
-    for token, n in words.items():
-        w = token.strip(PUNCTUATION)
-        if any(c.isalpha() for c in w):
-            sums[bucket(w)] += n
-    words.clear()
+def word_rarity(df: DataFrame, text: str = "text") -> dict[str, float]:
+    """-log of each known word's share of all words of the corpus, counted over all rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter[str] = Counter()
 
-def word_rarity(df: DataFrame, text: str = "text") -> np.ndarray:
-    """-log of each word bucket's share of all words of the corpus: an array of fixed size, counted over all rows."""
+        def out() -> pa.RecordBatch:
+            words: Counter[str] = Counter()
+            for token, n in tokens.items():
+                w = token.strip(PUNCTUATION)
+                if any(c.isalpha() for c in w):
+                    words[w] += n
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["w", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        sums = np.zeros(RARITY_BUCKETS, dtype=np.int64)
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                words.update(value.lower().split())
-            if len(words) > 200_000:
-                flush(words, sums)
-        flush(words, sums)
-        hit = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(sums[hit])], names=["b", "n"])
+                tokens.update(value.lower().split())
+            if len(tokens) > 200_000:
+                yield out()
+        yield out()
 
-    counted = df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(RARITY_BUCKETS)
-    counts[counted["b"].to_numpy(dtype=int)] = counted["n"].to_numpy(dtype=float)
-    return -np.log((counts + 1) / (counts.sum() + RARITY_BUCKETS)).astype(np.float32)
+    counted = reliable(df.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 1
+    return {r["w"]: -math.log(r["n"] / total) for r in counted.where(F.col("n") >= KNOWN_SHARE * total).toLocalIterator()}
 
 
 class OrdinalModel:
@@ -224,9 +216,9 @@ class OrdinalModel:
         return self.levels[np.searchsorted(self.cuts, ((x - self.mean) / self.scale) @ self.w)]
 
 
-def _feature_rows(df: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _feature_rows(df: DataFrame, rarity: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(rarity)
+        lexicon = _Lexicon(rarity.value)
         for batch in batches:
             keep, x = features(batch.column(1).to_pylist(), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -234,7 +226,7 @@ def _feature_rows(df: DataFrame, rarity: np.ndarray) -> DataFrame:
     return df.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id bigint, x array<double>")
 
 
-def fit(df: DataFrame, labels: DataFrame, rarity: np.ndarray, max_labels: int = MAX_LABELS) -> OrdinalModel | None:
+def fit(df: DataFrame, labels: DataFrame, rarity: Broadcast, max_labels: int = MAX_LABELS) -> OrdinalModel | None:
     """The model of a sample of at most max_labels graded documents, taken by hash; None without any."""
     sample = labels.where("doc_id is not null and nivel is not null").groupBy("doc_id").agg(F.max("nivel").alias("nivel")).orderBy(F.xxhash64("doc_id")).limit(max_labels)
     graded = _feature_rows(df.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"), rarity).join(F.broadcast(sample), "doc_id").orderBy("doc_id").toPandas()
@@ -248,13 +240,13 @@ def reading_level(df: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS
     only lists, cards and front matter have no row.  Repeated rows stay repeated.
     Without any graded document nothing can be calibrated and the result is empty.
     """
-    rarity = word_rarity(df)
+    rarity = df.sparkSession.sparkContext.broadcast(word_rarity(df))
     model = fit(df, labels, rarity, max_labels)
     if model is None:
         return df.sparkSession.createDataFrame([], "doc_id bigint, nivel bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = _Lexicon(rarity)
+        lexicon = _Lexicon(rarity.value)
         for batch in batches:
             keep, x = features(batch.column(1).to_pylist(), lexicon)
             if len(keep):
