@@ -55,8 +55,8 @@ def doi_valid(c: Column) -> Column:
     return F.coalesce(core.rlike(r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/[^\s]+$") & ~core.rlike(r"(?i)/(?:x+|\.+|-+|\?+|n/?[ad])$"), F.lit(False))
 
 
-def usable_values(records: DataFrame) -> DataFrame:
-    """registro_id, fonte, extraido_em, recebido_em, campo, valor for each usable value."""
+def usable_values(records: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """also, registro_id, fonte, extraido_em, recebido_em, campo, valor for each usable value."""
     publisher = _folded(F.col("editora_ou_periodico"))
     year = F.col("ano")
     fields = [
@@ -67,7 +67,8 @@ def usable_values(records: DataFrame) -> DataFrame:
         ("editora_ou_periodico", F.col("editora_ou_periodico"), F.coalesce(publisher.rlike(r"\p{L}") & ~publisher.isin(FILLERS) & ~F.regexp_replace(publisher, r"[\[\]().]", "").isin(FILLERS), F.lit(False))),
     ]
     each = F.array(*[F.when(ok, F.struct(F.lit(name).alias("campo"), value.alias("valor"))) for name, value, ok in fields])
-    return records.select("registro_id", "fonte", "extraido_em", "recebido_em", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("registro_id", "fonte", "extraido_em", "recebido_em", "x.campo", "x.valor")
+    keys = [*also, "registro_id", "fonte", "extraido_em", "recebido_em"]
+    return records.select(*keys, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(*keys, "x.campo", "x.valor")
 
 
 def survivors(groups: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -80,7 +81,9 @@ def survivors(groups: DataFrame, records: DataFrame, sources: DataFrame) -> Data
     """
     trust = sources.where("fonte is not null").groupBy("fonte").agg(F.max("confianca").alias("confianca"))
     members = groups.select("grupo_id", "registro_id").where("grupo_id is not null and registro_id is not null").distinct()
-    values = members.join(usable_values(records), "registro_id").join(F.broadcast(trust), "fonte", "left")
+    # Only the records of a group are validated, after the join.
+    told = members.join(records.select("registro_id", "fonte", "extraido_em", "recebido_em", "identificadores", "ano", "editora_ou_periodico"), "registro_id")
+    values = usable_values(told, ("grupo_id",)).join(F.broadcast(trust), "fonte", "left")
     best = Window.partitionBy("grupo_id", "campo").orderBy(F.desc_nulls_last("confianca"), F.desc_nulls_last("extraido_em"), F.desc_nulls_last("recebido_em"), "registro_id", "valor")
     return values.withColumn("posto", F.row_number().over(best)).where("posto = 1").select("grupo_id", "campo", "registro_id", "valor")
 
