@@ -1 +1,3 @@
 """Document cataloguing on Spark DataFrames."""
+
+__version__ = "0.2.0"

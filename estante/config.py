@@ -7,6 +7,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 PREFIX = "ESTANTE_"
+#: Flags of the command line that a resumed run takes over, and their names in the saved parameters; keys are never stored.
+SAVED_FLAGS = {"origem": "origem", "destino": "destino", "dry_run": "dry_run", "recursive": "recursive", "mover": "mover", "subpasta_md": "subpasta_markdown", "modelo": "modelo", "ollama_url": "ollama_url", "provedor": "provedor", "provedor_fallback": "provedor_fallback", "modelo_fallback": "modelo_fallback"}
+#: How providers are shown to people.
+DISPLAY = {"ollama": "Ollama (local)", "anthropic": "Anthropic", "openai": "OpenAI", "gemini": "Gemini", "deepseek": "DeepSeek", "grok": "Grok"}
 # Providers with their address, and words read as yes and no.
 PROVIDERS = {"ollama": "http://localhost:11434", "anthropic": "https://api.anthropic.com", "openai": "https://api.openai.com/v1", "gemini": "https://generativelanguage.googleapis.com/v1beta/openai", "deepseek": "https://api.deepseek.com", "grok": "https://api.x.ai/v1"}
 YES, NO = {"1", "true", "sim", "on", "verdadeiro"}, {"0", "false", "nao", "não", "off", "falso"}
@@ -29,15 +33,21 @@ def parse_positive(text: str | int | None, default: int) -> int:
     return int(text)
 
 
-def dotenv(folder: str) -> dict[str, str]:
-    """Variables of the nearest .env at or above a folder; later the process's own go before them."""
-    folder = os.path.abspath(folder)
+def _variables(path: str) -> dict[str, str]:
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.strip().removeprefix("export ").split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
+def dotenv(place: str) -> dict[str, str]:
+    """Variables of the named file, or of the nearest .env at or above a folder; later the process's own go before them."""
+    folder = os.path.abspath(place)
+    if os.path.isfile(folder):
+        return _variables(folder)
     while True:
         path = os.path.join(folder, ".env")
         if os.path.isfile(path):
-            with open(path, encoding="utf-8") as f:
-                pairs = [line.strip().removeprefix("export ").split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
-            return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+            return _variables(path)
         if os.path.dirname(folder) == folder:
             return {}
         folder = os.path.dirname(folder)

@@ -24,8 +24,7 @@ def merge_fallback(primary: DataFrame, fallback: DataFrame | None, key: str, war
     """
     p = primary.select(key, F.col("erro").alias("_pe"), F.col("registro").alias("_pr"))
     if fallback is None:
-        f = p.select(key).limit(0).withColumns({"_fe": F.lit(None).cast("string")}).join(p.select(F.col("_pr").alias("_fr")).limit(0))
-        both = p.join(f, key, "left").withColumn("_has", F.lit(False))
+        both = p.withColumns({"_fe": F.lit(None).cast("string"), "_fr": F.when(F.lit(False), F.col("_pr")), "_has": F.lit(False)})
     else:
         both = p.join(fallback.select(key, F.col("erro").alias("_fe"), F.col("registro").alias("_fr"), F.lit(True).alias("_h")), key, "left").withColumn("_has", F.coalesce("_h", F.lit(False)))
     first = both.withColumn("registro", F.col("_pr")).withColumn("_w", F.col("_pe").isNull() & F.coalesce(warned, F.lit(False)))
@@ -44,8 +43,11 @@ def join_warnings(first: Column, second: Column) -> Column:
     return F.when(first.isNotNull() & second.isNotNull(), F.concat(first, F.lit(" Além disso, "), second)).otherwise(F.coalesce(first, second))
 
 
-def summary(results: DataFrame, planned: Column | None = None, local: str = "local") -> DataFrame:
-    """One row: counts of the batch, how many came from the local provider, and the exit code."""
+def summary(results: DataFrame, planned: int | None = None, local: str = "local") -> DataFrame:
+    """One row: counts of the batch, how many came from the local provider, and the exit code.
+
+    planned: how many documents the batch was to process; then also restantes, those without a result.
+    """
     ok = F.col("situacao").isin("sucesso", "simulado")
     n = lambda c: F.count_if(c)
     return results.agg(
@@ -58,6 +60,7 @@ def summary(results: DataFrame, planned: Column | None = None, local: str = "loc
         n(F.col("aviso").isNotNull() & (F.col("aviso") != "")).alias("avisos"),
         F.coalesce(F.bool_or("usou_fallback"), F.lit(False)).alias("algum_fallback"),
         F.coalesce(F.bool_or(F.col("situacao") == "falha"), F.lit(False)).cast("int").alias("codigo_saida"),
+        *([] if planned is None else [(F.lit(planned) - F.count("*")).cast("bigint").alias("restantes")]),
     )
 
 
@@ -69,3 +72,9 @@ def in_input_order(results: DataFrame, listing: DataFrame, path: str = "caminho"
 def tree(plan: DataFrame) -> DataFrame:
     """area, subarea, tipo, arquivos: the destination tree with counts on every level (null: the level above)."""
     return plan.rollup("area", "subarea", "tipo").agg(F.count("*").alias("arquivos")).where("area is not null")
+
+
+def drawn(counts: DataFrame) -> list[str]:
+    """The lines of a tree with counts, in order; it has one line for each folder, not for each document."""
+    rows = sorted((tuple(x or "" for x in (r["area"], r["subarea"], r["tipo"])), r["arquivos"]) for r in counts.collect())
+    return [f"{'  ' * sum(x != '' for x in parts[1:])}{next(x for x in reversed(parts) if x)} ({n})" for parts, n in rows]

@@ -85,7 +85,12 @@ def resolve_against(df: DataFrame, existing: DataFrame) -> DataFrame:
     document whose own name is "X (2)", gives way to the numbers after the last one
     planned or standing for it, in the order of the paths; rounds of joins go on
     until every row has a name.  Rows without folder or name collide with nothing.
+    Only these columns go through the rounds; others are joined to the result.
     """
+    keys = ["caminho", "pasta", "nome", "vez"]
+    if set(df.columns) != set(keys):
+        rest = df.select("caminho", *[x for x in df.columns if x not in keys])
+        return resolve_against(df.select(*keys), existing).join(rest, "caminho").select(*df.columns, "final")
     taken = reliable(existing.select("pasta", "nome").distinct())
     done, left = [], reliable(df.withColumn("final", suffixed(F.col("nome"), F.col("vez"))))
     planned = df.select("pasta", "nome", F.col("vez").cast("bigint").alias("n"))

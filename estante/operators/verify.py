@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from estante.functions import identifiers as I
 from estante.functions import text as T
 
-NULL_SALT = 64
-
 
 def alike(a: Column, b: Column) -> Column:
     """One telling word in common; nothing to compare with counts as alike."""
@@ -24,9 +22,10 @@ def latest(registry: DataFrame, kind: str) -> DataFrame:
 
 
 def message(kind: str, value: Column, source: str, title: Column, authors: Column) -> Column:
-    found = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit('"'), title, F.lit('"'))).otherwise("uma obra sem título retornado")
-    found = F.concat(found, F.when(authors != "", F.concat(F.lit(", de "), authors)).otherwise(""))
-    return F.concat(F.lit(f"o {kind} "), value, F.lit(f" está registrado no {source} para "), found, F.lit(" — diferente do que foi extraído. Confira se os metadados são mesmo deste documento."))
+    """What the registry knows under the identifier of a record that is about another work."""
+    work = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("«"), title, F.lit("»"))).otherwise("um registro sem título")
+    by = F.when(authors != "", F.concat(F.lit(" ("), authors, F.lit(")"))).otherwise("")
+    return F.concat(F.lit(f"{source} guarda outra obra sob o {kind} "), value, F.lit(": "), work, by, F.lit("; título e autoria do documento precisam de conferência."))
 
 
 def fill(current: Column, *others: Column) -> Column:
@@ -36,14 +35,19 @@ def fill(current: Column, *others: Column) -> Column:
 def verify(records: DataFrame, registry: DataFrame, key: str = "registro_id") -> DataFrame:
     """records with situacao_doi, situacao_isbn, aviso_registro, editora_final, ano_final, local_final.
 
-    The DOI is looked up first; a mismatch there ends the matter.  Null keys get
-    keys of their own, spread by the row's key, so they do not meet in one task.
+    The DOI is looked up first; a mismatch there ends the matter.  Rows without a key
+    take no part in the join of that key, so they do not meet in one task.
     """
     d = F.nullif(I.doi_key(F.col("identificadores.doi")), F.lit(""))
     i = F.nullif(I.isbn_key(F.col("identificadores.isbn")), F.lit(""))
-    spread = lambda c, n: F.coalesce(c, F.concat(F.lit(f"\u0000{n}"), F.pmod(F.xxhash64(key), F.lit(NULL_SALT)).cast("string")))
-    keyed = records.withColumn("_d", spread(d, "d")).withColumn("_i", spread(i, "i"))
-    joined = keyed.join(latest(registry, "doi").withColumnRenamed("chave", "_d"), "_d", "left").join(latest(registry, "isbn").withColumnRenamed("chave", "_i"), "_i", "left")
+    keyed = records.withColumn("_d", d).withColumn("_i", i)
+
+    def looked_up(rows: DataFrame, key: str, kind: str) -> DataFrame:
+        answers = latest(registry, kind).withColumnRenamed("chave", key)
+        told = rows.where(F.col(key).isNotNull()).join(answers, key, "left")
+        return told.unionByName(rows.where(F.col(key).isNull()).withColumn(kind, F.lit(None).cast(answers.schema[kind].dataType)))
+
+    joined = looked_up(looked_up(keyed, "_d", "doi"), "_i", "isbn")
     by = lambda k: F.array_join(F.coalesce(F.col(f"{k}.autores"), F.array().cast("array<string>")), " ")
     state = lambda k: F.when(F.col(k).isNull(), "ausente").when(alike(F.col("titulo"), F.col(f"{k}.titulo")) | alike(F.col("autor_principal"), by(k)), "confere").otherwise("diverge")
     s = joined.withColumn("situacao_doi", state("doi")).withColumn("situacao_isbn", F.when(F.col("situacao_doi") == "diverge", "ausente").otherwise(state("isbn")))

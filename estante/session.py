@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ def build_session(app: str = "estante", cpus: int | str = "*", **conf: str) -> S
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": "8g",
     }
     for key, value in (defaults | conf).items():
@@ -31,11 +33,17 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder all executors share.
 
-    The folder named by ``spark.checkpoint.dir`` is used as it stands; only a
-    session without one (a test) gets a temporary folder.
+    The folder named by ``spark.checkpoint.dir`` is used as it stands.  Only a local
+    session without one (a test, the command line) gets a temporary folder, removed
+    at its end; on a cluster that would not be shared, so it is an error there.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "estante-checkpoint"))
+        if not shared:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="estante-checkpoint-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

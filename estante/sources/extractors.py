@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 from estante.operators.validate import strict_schema, validated
 
 TIMEOUT, MAX_TOKENS = 180, 4096
-PROMPT = "Extraia os metadados bibliográficos do documento. Responda somente com JSON no esquema dado; use null onde o texto não informa, e nunca complete identificadores de memória."
+PROMPT = """Você cataloga documentos. Leia o trecho e devolva só um objeto JSON no esquema dado.
+Título e subtítulo vêm da folha de rosto ou do cabeçalho do artigo, não do nome do arquivo, que pode enganar.
+Escreva cada autor como "Sobrenome, Nome", na ordem em que aparece; tradutores e organizadores só contam quando não há autor.
+Escolha uma área ampla do conhecimento e, dentro dela, uma subárea; repita a área quando não couber nenhuma.
+Copie ISBN, ISSN e DOI apenas se estiverem no trecho; não os complete de memória.
+Ano é o da publicação do documento, com quatro algarismos. O que o texto não diz fica null.
+Monte a referência pela ABNT com os mesmos dados, sem acrescentar nada."""
 #: Answers that no other document would get either.
 FATAL = {401, 403, 404, 429}
+# What a rejected request says when the account has nothing left to spend.
+SPENT = "credit balance"
+NOT_SENT = "não processado"
 
 
 class Extractor(Protocol):
@@ -34,7 +43,8 @@ def post(url: str, body: dict, headers: dict[str, str]) -> dict:
         with urllib.request.urlopen(request, timeout=TIMEOUT) as response:
             return json.load(response)
     except urllib.error.HTTPError as problem:
-        raise (FatalError if problem.code in FATAL else RuntimeError)(f"HTTP {problem.code}") from None
+        said = problem.read().decode("utf-8", "replace") if problem.code == 400 else ""
+        raise (FatalError if problem.code in FATAL or SPENT in said.lower() else RuntimeError)(f"HTTP {problem.code} {said[:200]}".strip()) from None
     except urllib.error.URLError as problem:
         raise (RuntimeError if isinstance(problem.reason, TimeoutError) else FatalError)(str(problem.reason)) from None
 
@@ -65,20 +75,25 @@ class HttpExtractor:
 def extract(prompts: DataFrame, make: Callable[[], Extractor], key: str = "caminho") -> DataFrame:
     """key, registro, erro, fatal from key, pedido, trecho.
 
-    Nothing is raised in a task: a fatal answer marks its row, and the caller stops
-    after the slice that holds one.  Blank excerpts never reach the extractor.  The
-    result is not deterministic: persist it before it branches.
+    Nothing is raised in a task: a fatal answer marks its row, and the task sends
+    nothing more: its other rows are fatal too, with NOT_SENT.  Blank excerpts never
+    reach the extractor.  The result is not deterministic: persist it before it
+    branches.
     """
     blank = F.coalesce(F.col("trecho"), F.lit("")).rlike(r"(?U)^\s*$")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extractor = make()
+        extractor, stopped = make(), False
         for batch in batches:
             rows = []
             for k, prompt in zip(batch[key], batch["pedido"]):
+                if stopped:
+                    rows.append((k, None, NOT_SENT, True))
+                    continue
                 try:
                     rows.append((k, extractor.answer(prompt), None, False))
                 except FatalError as problem:
+                    stopped = True
                     rows.append((k, None, str(problem), True))
                 except Exception as problem:  # noqa: BLE001
                     rows.append((k, None, f"{type(problem).__name__}: {problem}", False))

@@ -15,7 +15,8 @@ def write_plan(plan: DataFrame, dry_run: bool = False, move: bool = False, note_
     """caminho, situacao, destino, erro from caminho, pasta, final, nota.
 
     The plan is made before, deterministically, so a repeated task writes the same
-    files again.  note_folder: a subfolder of its own for the notes.  A file that cannot be written is a failure of its row.
+    files again.  note_folder: a subfolder of its own for the notes.  A file that
+    cannot be written is a failure of its row.
     """
     if dry_run:
         return plan.select("caminho", F.lit("simulado").alias("situacao"), F.concat("pasta", F.lit("/"), "final", F.lit(".pdf")).alias("destino"), F.lit(None).cast("string").alias("erro"))

@@ -18,6 +18,7 @@ class RunState:
 
     def __init__(self, folder: str):
         self.folder, self.params_path, self.done_path = folder, os.path.join(folder, "parametros.json"), os.path.join(folder, "concluidos")
+        self.results_path = os.path.join(folder, "resultados")
 
     def save(self, **params) -> None:
         os.makedirs(self.folder, exist_ok=True)
@@ -40,7 +41,18 @@ class RunState:
     def done(self, spark: SparkSession) -> DataFrame:
         if not os.path.isdir(self.done_path):
             return spark.createDataFrame([], "caminho string")
-        return spark.read.parquet(self.done_path).distinct()
+        return spark.read.parquet(self.done_path).distinct().orderBy("caminho")
+
+    def keep(self, results: DataFrame) -> None:
+        """Appends results of a slice, for the report."""
+        results.write.mode("append").parquet(self.results_path)
+
+    def results(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.results_path)
+
+    def forget_results(self) -> None:
+        """A report is about one run, also if that resumes another."""
+        shutil.rmtree(self.results_path, ignore_errors=True)
 
     def clear(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)

@@ -181,6 +181,146 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["-i", str(src / "c.pdf"), "-o", "x"], **use) == 1
 
 
+def counting(folder, fatal=""):
+    """An extractor that leaves a file for each call, and a document whose text is its name."""
+
+    class Named:
+        needs_pass, metadata, page_count = False, {}, 1
+
+        def __init__(self, path):
+            self.name = os.path.basename(path)
+
+        def __getitem__(self, k):
+            return self
+
+        def get_text(self, kind):
+            return f"Texto de {self.name}"
+
+    class Counting:
+        def answer(self, prompt):
+            name = prompt.split("Arquivo: ")[1].split("\n")[0]
+            Path(folder, name).touch()
+            if fatal and fatal in name:
+                raise FatalError("chave recusada")
+            return json.dumps(ANSWER | {"titulo": "Obra " + name[0], "autores": [], "referencia_abnt": "x"})
+
+    return {"make_extractor": Counting, "opener": Named}
+
+
+def batch_of(tmp_path, names="abcdef"):
+    for sub in ("in", "chamadas"):
+        (tmp_path / sub).mkdir()
+    for n in names:
+        (tmp_path / "in" / f"{n}.pdf").write_bytes(b"%PDF")
+    calls = lambda: sorted(p.stem for p in (tmp_path / "chamadas").iterdir())
+    written = lambda: sorted(p.name.split(" - ")[1] for p in (tmp_path / "out").rglob("*.md"))
+    return ["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--log", str(tmp_path / "erros.log")], calls, written
+
+
+def test_an_interrupted_run_resumes_with_the_rest(spark, tmp_path):
+    from estante import cli
+
+    base, calls, written = batch_of(tmp_path)
+
+    def stop(results):
+        raise KeyboardInterrupt
+
+    use = counting(str(tmp_path / "chamadas")) | {"state_folder": str(tmp_path / "s"), "slice_size": 2}
+    assert cli.main(base, on_slice=stop, **use) == 2 and calls() == ["a", "b"] and written() == ["Obra a", "Obra b"]
+    # A trial in between leaves the progress alone.
+    assert cli.main([*base, "--dry-run"], **use) == 0
+    for p in (tmp_path / "chamadas").iterdir():
+        p.unlink()
+    seen = []
+    assert cli.main(["--resume"], on_slice=lambda r: seen.append(r.count()), **use) == 0
+    assert calls() == ["c", "d", "e", "f"] and seen == [2, 2] and len(written()) == 6 and not (tmp_path / "s").exists()
+
+
+def test_a_fatal_answer_stops_the_batch(spark, tmp_path):
+    from estante import cli
+
+    base, calls, written = batch_of(tmp_path)
+    use = {"state_folder": str(tmp_path / "s"), "slice_size": 2}
+    assert cli.main(base, **counting(str(tmp_path / "chamadas"), fatal="d.pdf"), **use) == 2
+    assert len(calls()) <= 4 and {"a", "b"} <= set(calls()) and {"Obra a", "Obra b"} <= set(written()) and "Obra d" not in written()
+    assert cli.main(["--resume"], **counting(str(tmp_path / "chamadas")), **use) == 0 and len(written()) == 6
+
+
+def test_failures_are_logged_and_wrong_places_are_told(spark, tmp_path):
+    from estante import cli
+
+    Fake, FakeExtractor = fakes()
+    (tmp_path / "in").mkdir()
+    for n in ("a.pdf", "ruim.pdf"):
+        (tmp_path / "in" / n).write_bytes(b"%PDF")
+    base = ["-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--log", str(tmp_path / "erros.log")]
+    use = {"state_folder": str(tmp_path / "s"), "make_extractor": FakeExtractor, "opener": Fake}
+    assert cli.main(base, **use) == 1 and "corrompido" in (tmp_path / "erros.log").read_text() and "conversao" in (tmp_path / "erros.log").read_text()
+    assert cli.main(["-i", str(tmp_path / "nada"), "-o", "x"], **use) == 2 and cli.main([*base, "--env", str(tmp_path / "x.env")], **use) == 2
+    (tmp_path / "meu.env").write_text("ESTANTE_PROVEDOR=nenhum")
+    assert cli.main([*base, "--env", str(tmp_path / "meu.env")], **use) == 2
+    assert cli.note_folder(' a/b:c. ') == "a b c" and cli.note_folder("...") == "Markdown" and cli.note_folder(None) is None
+
+
+def test_pages_become_markdown_or_plain_text(tmp_path):
+    from estante.sources.files import convert_pdf
+
+    Fake, _ = fakes()
+    assert convert_pdf("a.pdf", Fake, lambda d, k: f"# p{k}")["paginas"] == ["# p0", "# p1"]
+
+    def broken(d, k):
+        raise ValueError(k)
+
+    assert convert_pdf("a.pdf", Fake, broken)["markdown_completo"].startswith("Dados da obra")
+
+
+def test_registries_are_asked_once_and_failures_tell_nothing(spark):
+    from estante.sources.registry import lookup
+
+    def fetch(url):
+        if "10.1/a" in url:
+            return {"message": {"title": ["Obra"], "author": [{"given": "Ana", "family": "Silva"}], "publisher": "Casa", "published": {"date-parts": [[None]]}, "published-print": {"date-parts": [[2001, 5]]}}}
+        if "ISBN:123" in url:
+            return {"ISBN:123": {"title": "Livro", "authors": [{"name": "B"}], "publish_date": "maio de 1999", "publish_places": [{"name": "Recife"}]}}
+        raise OSError("sem rede")
+
+    rows = [("/a", ("1-2 3", None, "https://doi.org/10.1/a")), ("/b", ("123", None, "10.1/a")), ("/c", ("9", "", "10.9/z")), ("/d", (None, None, None))]
+    got = {r["chave"]: r for r in lookup(spark.createDataFrame(rows, "caminho string, identificadores struct<isbn:string,issn:string,doi:string>"), fetch).collect()}
+    assert set(got) == {"10.1/a", "123"} and got["10.1/a"]["data_publicacao"] == "2001" and got["10.1/a"]["autores"] == ["Ana Silva"] and got["123"]["local"] == "Recife" and got["123"]["data_publicacao"] == "maio de 1999"
+
+
+def test_a_spent_account_is_fatal(monkeypatch):
+    import io
+    import urllib.error
+    import urllib.request
+
+    from estante.sources import extractors
+
+    def refuse(code, said):
+        def send(*a, **k):
+            raise urllib.error.HTTPError("http://x", code, "", {}, io.BytesIO(said.encode()))
+
+        monkeypatch.setattr(urllib.request, "urlopen", send)
+
+    refuse(400, "Your credit balance is too low")
+    with pytest.raises(FatalError):
+        extractors.post("http://x", {}, {})
+    refuse(400, "bad field")
+    with pytest.raises(RuntimeError) as other:
+        extractors.post("http://x", {}, {})
+    assert not isinstance(other.value, FatalError)
+
+
+def test_listing_is_in_order_at_any_depth(spark, tmp_path):
+    names = ["b/c/d/e.pdf", "b/a.pdf", "a b/z.pdf", "a.pdf", "b/c/x.pdf", ".h/y.pdf", "b/.oculto.pdf", "b/c/t.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(b"%PDF")
+    want = sorted((str(tmp_path / n) for n in names if n.endswith("pdf") and "oculto" not in n), key=lambda p: p.split("/"))
+    got = list_files(spark, str(tmp_path)).orderBy("ordem").collect()
+    assert [r["caminho"] for r in got] == want and [r["ordem"] for r in got] == list(range(len(want)))
+
+
 def test_fatal_and_blank_are_data(spark):
     _, FakeExtractor = fakes()
     rows = [("a", "fatal", "x"), ("b", "bom", "x"), ("c", "bom", " "), ("d", "bom", None)]
