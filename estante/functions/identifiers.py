@@ -19,16 +19,22 @@ def escaped(c: Column) -> Column:
     return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
-def confirmed(value: Column, text: Column) -> Column:
+def bare(text: Column) -> Column:
+    """The text that confirmed() searches first: in lower case, without separators."""
+    return F.lower(F.regexp_replace(text, rf"(?U){SEPARATORS}", ""))
+
+
+def confirmed(value: Column, text: Column, plain: Column | None = None) -> Column:
     """Whether the code stands in the text on its own, whatever separators are between its characters.
 
     A plain search in the text without separators, which must succeed first, spares
-    most rows the pattern built for their own value.
+    most rows the pattern built for their own value.  plain: bare(text), where it is
+    at hand because many codes are looked for in one text.
     """
     core = F.regexp_replace(value, rf"(?U){SEPARATORS}", "")
     pattern = F.concat(F.lit(r"(?iU)\b"), F.array_join(F.transform(F.split(core, ""), lambda x: escaped(x)), rf"{SEPARATORS}*"), F.lit(r"\b"))
-    maybe = F.contains(F.lower(F.regexp_replace(text, rf"(?U){SEPARATORS}", "")), F.lower(core))
-    return F.coalesce(F.when(core == "", False).when(maybe, text.rlike(pattern) if not isinstance(pattern, Column) else F.regexp_like(text, pattern)).otherwise(False), F.lit(False))
+    maybe = F.contains(bare(text) if plain is None else plain, F.lower(core))
+    return F.coalesce(F.when(core == "", False).when(maybe, F.regexp_like(text, pattern)).otherwise(False), F.lit(False))
 
 
 def confirmed_sql(value: str, text: str) -> str:
@@ -75,17 +81,27 @@ def doi_in(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def discard_unconfirmed(isbn: Column, issn: Column, doi: Column, citation: Column, text: Column) -> Column:
-    """isbn, issn, doi, referencia: codes that the text does not hold are nulled and leave the citation, one after the other."""
+def discard_unconfirmed(isbn: Column, issn: Column, doi: Column, citation: Column, text: Column, plain: Column | None = None) -> Column:
+    """isbn, issn, doi, referencia: codes that the text does not hold are nulled and leave the citation, one after the other.
+
+    plain: bare(text), where it is at hand.
+    """
     filled = lambda c: F.when(c != "", c)
-    doi = F.coalesce(filled(doi), doi_in(citation))
-    out, left = {}, citation
-    for name, value in (("isbn", filled(isbn)), ("issn", filled(issn)), ("doi", doi)):
-        out[name] = F.when(confirmed(value, text), value)
-        left = let(left, lambda t: F.when(value.isNotNull() & ~confirmed(value, text), _without(t, name.upper(), value)).otherwise(t))
+    codes = F.struct(filled(isbn).alias("isbn"), filled(issn).alias("issn"), F.coalesce(filled(doi), doi_in(citation)).alias("doi"), (bare(text) if plain is None else plain).alias("p"))
+    names = ("isbn", "issn", "doi")
     tidy = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?U)\s{2,}", " "), r"(?U)^\s+|\s+$", "")
-    final = let(left, lambda t: F.when(t != citation, tidy(t)).otherwise(citation))
-    return F.struct(*[out[n].alias(n) for n in ("isbn", "issn", "doi")], final.alias("referencia"))
+
+    def dropped(left: Column, x: Column, n: str) -> Column:
+        return let(left, lambda t: F.when(x[n].isNotNull() & ~x[f"{n}_ok"], _without(t, n.upper(), x[n])).otherwise(t))
+
+    def judged(x: Column) -> Column:
+        left = citation
+        for n in names:
+            left = dropped(left, x, n)
+        return F.struct(*[F.when(x[f"{n}_ok"], x[n]).alias(n) for n in names], let(left, lambda t: F.when(t != citation, tidy(t)).otherwise(citation)).alias("referencia"))
+
+    checked = lambda x: F.struct(*[x[n].alias(n) for n in names], *[confirmed(x[n], text, x["p"]).alias(f"{n}_ok") for n in names])
+    return let(let(codes, checked), judged)
 
 
 def surnames_upper(citation: Column, authors: Column) -> Column:
@@ -114,4 +130,4 @@ def year_in(c: Column) -> Column:
 
 def year_of_parts(*dates: Column) -> Column:
     """Of several lists of date parts, the first usable year (element 0 of element 0)."""
-    return F.coalesce(*[F.nullif(F.try_element_at(F.try_element_at(d, F.lit(1)), F.lit(1)), F.lit(0)) for d in dates])
+    return F.coalesce(*[F.nullif(F.get(F.get(d, 0), 0), F.lit(0)) for d in dates])

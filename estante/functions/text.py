@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -81,10 +81,18 @@ def let(c: Column, use) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
+#: A character that composition may change: none below the combining marks, nor common dashes and quotes.
+COMPOSABLE = r"[^\x{0}-\x{2FF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20AC}]"
+
+
 @F.pandas_udf(StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    """Composed form; only values with a character beyond Latin-1 are touched."""
-    return values.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFC", s), na_action="ignore")
+def _nfc(values: pd.Series) -> pd.Series:
+    return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+
+def nfc(c: Column) -> Column:
+    """Composed form; only values with a character that may compose reach Python."""
+    return F.coalesce(_nfc(F.when(c.rlike(COMPOSABLE), c)), c)
 
 
 def sanitize(c: Column, longest: int = MAX_SEGMENT, final: bool = True, composed: bool = False) -> Column:
@@ -108,6 +116,3 @@ def sanitize_sql(x: str, longest: int = MAX_SEGMENT, final: bool = True) -> str:
     reserved = ", ".join(f"'{r}'" for r in RESERVED)
     return f"(CASE WHEN upper({clean}) IN ({reserved}) THEN '_' || {clean} ELSE {clean} END)"
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -50,19 +50,19 @@ def within_path(name: Column, folder: Column, extension: str = ".pdf") -> Column
     )
 
 
-def collisions(df: DataFrame, keys: list[str], order: str, prefix: int = 24) -> DataFrame:
-    """df with vez: which one of the rows of equal keys each is, in the order of a string column.
+def collisions(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """df with vez: which one of the rows of equal keys each is, in the order of a column.
 
-    A name that a third of all rows share must not be numbered in one task: rows are
-    numbered within the first characters of the order column, which keep the order,
-    and the counts of the beginnings before are added.
+    A name that a third of all rows share must not be numbered in one task: the rows
+    are cut in ranges of the whole order column, numbered within a range, and the
+    counts of the ranges before are added.
     """
-    part = df.withColumn("_b", F.substring(order, 1, prefix))
+    part = reliable(df.repartitionByRange(order).withColumn("_b", F.spark_partition_id()))
     counts = part.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_bb"), "_base")
-    same = [part[k].eqNullSafe(counts[f"_{k}"]) for k in keys] + [part["_b"].eqNullSafe(counts["_bb"])]
+    same = [part[k].eqNullSafe(counts[f"_{k}"]) for k in keys] + [part["_b"] == counts["_bb"]]
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
     return part.withColumn("_r", F.row_number().over(inside)).join(counts, same).withColumn("vez", (F.col("_base") + F.col("_r")).cast("bigint")).select(*df.columns, "vez")
 

@@ -132,12 +132,14 @@ SOURCE = "(SELECT m.*, c.markdown_inicial AS fonte_texto FROM metadados m JOIN c
 
 
 def _with_text(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "metadados").join(table(s, d, "convertidos").select("caminho", F.col("markdown_inicial").alias("fonte_texto")), "caminho")
+    # Each text is brought to its bare form once, not once for every record of its file.
+    texts = table(s, d, "convertidos").select("caminho", F.col("markdown_inicial").alias("fonte_texto"), I.bare(F.col("markdown_inicial")).alias("fonte_lisa"))
+    return table(s, d, "metadados").join(texts, "caminho")
 
 
 @query("SELECT registro_id, recebido_em, " + ", ".join(f"{I.confirmed_sql('identificadores.' + k, 'fonte_texto')} AS {k}_ok" for k in ("isbn", "issn", "doi")) + f" FROM {SOURCE} s")
 def identifier_confirm(s, d):
-    return _with_text(s, d).select("registro_id", "recebido_em", *[I.confirmed(F.col(f"identificadores.{k}"), F.col("fonte_texto")).alias(f"{k}_ok") for k in ("isbn", "issn", "doi")])
+    return _with_text(s, d).select("registro_id", "recebido_em", *[I.confirmed(F.col(f"identificadores.{k}"), F.col("fonte_texto"), F.col("fonte_lisa")).alias(f"{k}_ok") for k in ("isbn", "issn", "doi")])
 
 
 #: The citation with its identifiers written at the end, so that discarding has something to remove.
@@ -156,7 +158,7 @@ CASE WHEN r3 <> ref THEN {ONE_SPACE("regexp_replace(r3, '" + T.SPACE + "{2,}', '
 def _discarded(s: SparkSession, d: str) -> DataFrame:
     label = lambda t, k: F.coalesce(F.concat(F.lit(t), F.nullif(F.trim(F.col(f"identificadores.{k}")), F.lit(""))), F.lit(""))
     df = _with_text(s, d).withColumn("ref", F.concat("referencia_abnt", label(" ISBN ", "isbn"), label(" DOI: ", "doi")))
-    made = I.discard_unconfirmed(*[F.col(f"identificadores.{k}") for k in ("isbn", "issn", "doi")], F.col("ref"), F.col("fonte_texto"))
+    made = I.discard_unconfirmed(*[F.col(f"identificadores.{k}") for k in ("isbn", "issn", "doi")], F.col("ref"), F.col("fonte_texto"), F.col("fonte_lisa"))
     return df.withColumn("r", made)
 
 
@@ -205,6 +207,29 @@ def registry_verify(s, d):
     return verify.verify(table(s, d, "metadados"), table(s, d, "registro_bib")).select("registro_id", "recebido_em", "situacao_doi", "situacao_isbn", "editora_final", "ano_final", "local_final")
 
 
+_told = lambda kind, k, source: f"'{source} guarda outra obra sob o {kind} ' || identificadores.{k} || ': ' || CASE WHEN coalesce({k}_titulo, '') <> '' THEN '«' || {k}_titulo || '»' ELSE 'um registro sem título' END || CASE WHEN coalesce({k}_autores, '') <> '' THEN ' (' || {k}_autores || ')' ELSE '' END || '; título e autoria do documento precisam de conferência.'"
+_warned = "CASE WHEN sd = 'diverge' THEN " + _told("DOI", "doi", "Crossref") + " WHEN si = 'diverge' THEN " + _told("ISBN", "isbn", "Open Library") + " END"
+
+
+@query(
+    f"""SELECT registro_id, recebido_em, CASE WHEN w IS NOT NULL AND sem THEN 'sem autor Além disso, ' || w ELSE coalesce(w, CASE WHEN sem THEN 'sem autor' END) END AS aviso FROM (SELECT *, {_warned} AS w, coalesce(autor_principal, '') = '' AS sem
+FROM (SELECT *, CASE WHEN sd = 'diverge' THEN 'ausente' ELSE {_state('isbn')} END AS si FROM (SELECT *, {_state('doi')} AS sd FROM
+(SELECT m.*, b1.chave AS doi_hit, b2.chave AS isbn_hit, b1.* EXCLUDE (chave), b2.* EXCLUDE (chave) FROM metadados m
+LEFT JOIN {_reg('doi')} b1 ON b1.chave = nullif(regexp_replace(trim(identificadores.doi), '{I.DOI_PREFIX}', ''), '')
+LEFT JOIN {_reg('isbn')} b2 ON b2.chave = nullif(regexp_replace(identificadores.isbn, '[\\s\\x{{A0}}-]', '', 'g'), '')) j) k) l) n"""
+)
+def registry_warning(s, d):
+    told = verify.verify(table(s, d, "metadados"), table(s, d, "registro_bib"))
+    alone = F.when(F.coalesce("autor_principal", F.lit("")) == "", "sem autor")
+    return told.select("registro_id", "recebido_em", batch.join_warnings(alone, F.col("aviso_registro")).alias("aviso"))
+
+
+@query(f"SELECT chave, consultado_em, coalesce(nullif({_year('data_publicacao')}, 0), length(chave)) AS ano FROM registro_bib")
+def registry_year_parts(s, d):
+    parts = lambda c: F.array(F.array(c, F.lit(1)))
+    return table(s, d, "registro_bib").select("chave", "consultado_em", I.year_of_parts(parts(I.year_in(F.col("data_publicacao"))), parts(F.length("chave"))).alias("ano"))
+
+
 @query(f"SELECT chave, consultado_em, {_year('data_publicacao')} AS ano FROM registro_bib")
 def year_extract(s, d):
     return table(s, d, "registro_bib").select("chave", "consultado_em", I.year_in(F.col("data_publicacao")).alias("ano"))
@@ -230,15 +255,22 @@ def embedded_useful(s, d):
     return table(s, d, "convertidos").select("conv_id", F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("uteis"))
 
 
-@query()
+_useful = "list_sort(list_transform(list_filter(map_entries(metadados_embutidos), lambda e: e.key IN ('title','author','subject','keywords','creator','producer') AND e.value IS NOT NULL AND trim(e.value) <> ''), lambda e: '- ' || e.key || ': ' || trim(e.value)))"
+
+
+@query(
+    f"""SELECT conv_id, concat_ws(chr(10), 'Arquivo: ' || nome_arquivo, 'Páginas: ' || total_paginas, CASE WHEN len(u) > 0 THEN 'Metadados embutidos:' || chr(10) || array_to_string(u, chr(10)) END, '', coalesce(markdown_inicial, '')) AS pedido
+FROM (SELECT *, coalesce({_useful}, []) AS u FROM convertidos) t"""
+)
 def prompt_assembly(s, d):
     df = table(s, d, "convertidos")
     return df.select("conv_id", excerpt.user_prompt(F.col("nome_arquivo"), F.col("total_paginas"), F.col("metadados_embutidos"), F.coalesce("markdown_inicial", F.lit(""))).alias("pedido"))
 
 
-@query("SELECT caminho FROM convertidos WHERE caminho NOT IN (SELECT origem FROM resultados WHERE origem IS NOT NULL)")
+@query("SELECT DISTINCT caminho FROM metadados WHERE caminho NOT IN (SELECT origem FROM resultados WHERE origem IS NOT NULL AND situacao = 'sucesso')")
 def resume_pending(s, d):
-    return batch.pending(table(s, d, "convertidos").select("caminho"), table(s, d, "resultados").select(F.col("origem").alias("caminho")))
+    written = table(s, d, "resultados").where("situacao = 'sucesso'").select(F.col("origem").alias("caminho"))
+    return batch.pending(table(s, d, "metadados").select("caminho").distinct(), written)
 
 
 @query("SELECT DISTINCT caminho FROM metadados WHERE NOT EXISTS (SELECT 1 FROM resultados WHERE origem = caminho AND situacao <> 'falha') ORDER BY string_split(caminho, '/') LIMIT 100")
@@ -286,7 +318,7 @@ def failures_report(s, d):
 def results_in_order(s, d):
     listing = table(s, d, "metadados").select("caminho").distinct()
     results = table(s, d, "resultados").select(F.col("origem").alias("caminho"), "situacao").join(listing, "caminho")
-    turns = naming.collisions(results.withColumn("lote", F.lit(0)), ["lote"], "caminho", prefix=20)
+    turns = naming.collisions(results.withColumn("lote", F.lit(0)), ["lote"], "caminho")
     return batch.in_input_order(results, turns.select("caminho", F.col("vez").alias("ordem"))).select("caminho", "ordem", "situacao")
 
 
@@ -296,10 +328,23 @@ def note_body(s, d):
     return df.select("registro_id", "recebido_em", F.md5(note.body(F.col("titulo"), F.col("referencia_abnt"), F.col("markdown_completo"))).alias("resumo"))
 
 
-@query()
+#: Keys of the front matter whose values are written the same way whatever they hold, and the SQL of what they must say.
+_front = {"ano": "coalesce(cast(ano AS varchar), 'null')", "total_paginas": "coalesce(cast(total_paginas AS varchar), 'null')", "catalogado_em": "'''2025-01-01'''", "provedor_extracao": "'local'", "extraido_via_fallback": "'false'", "autores_n": "len(coalesce(autores, []))", "etiquetas": "array_to_string(list_transform([T1, T2, T3], lambda x: '- ' || x), ' ')"}
+_tags = {"T1": f"'area/' || {T.slug_sql('area_principal')}", "T2": f"'subarea/' || {T.slug_sql('subarea')}", "T3": f"'tipo/' || {T.slug_sql('tipo_publicacao')}"}
+_said = {k: (v if k != "etiquetas" else v.replace("T1", _tags["T1"]).replace("T2", _tags["T2"]).replace("T3", _tags["T3"])) for k, v in _front.items()}
+
+
+@query("SELECT registro_id, recebido_em, 20 AS chaves, " + ", ".join(f"{v} AS {k}" for k, v in _said.items()) + " FROM metadados m JOIN convertidos c ON m.caminho = c.caminho")
 def note_render(s, d):
     df = table(s, d, "metadados").join(table(s, d, "convertidos").select("caminho", "markdown_completo", "total_paginas"), "caminho")
-    return note.notes(df, "2025-01-01", F.lit("local"), F.lit(False)).select("registro_id", "recebido_em", "nota")
+    front = F.regexp_extract("nota", r"(?s)^---\n(.*?)\n---\n", 1)
+    value = lambda k: F.regexp_extract("f", rf"(?m)^{k}: (.*)$", 1).alias(k)
+    block = lambda k: F.regexp_extract("f", rf"(?ms)^{k}:\n((?:- .*?\n)(?=\w|\z))", 1)
+    made = note.notes(df, "2025-01-01", F.lit("local"), F.lit(False)).select("registro_id", "recebido_em", F.concat(front, F.lit("\n")).alias("f"))
+    return made.select(
+        "registro_id", "recebido_em", F.regexp_count("f", F.lit(r"(?m)^\w+:")).alias("chaves"), value("ano"), value("total_paginas"), value("catalogado_em"), value("provedor_extracao"), value("extraido_via_fallback"),
+        F.regexp_count(block("autores"), F.lit(r"(?m)^- ")).cast("bigint").alias("autores_n"), F.regexp_replace(F.trim(F.regexp_replace(block("tags"), r"\n$", "")), r"\n", " ").alias("etiquetas"),
+    )
 
 
 _lost = "concat_ws(', ', " + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in validate.REQUIRED) + ")"

@@ -76,7 +76,7 @@ def test_path_budget(spark, folder, name, fits, error):
 def test_collisions_number_in_order_and_avoid_existing(spark):
     rows = [("p", "X", f"/{i:03}") for i in range(30)] + [("p", "X (2)", "/500"), ("q", "X", "/1"), (None, None, "/7"), (None, None, "/8")]
     df = spark.createDataFrame(rows, "pasta string, nome string, caminho string")
-    turns = naming.collisions(df, ["pasta", "nome"], "caminho", prefix=3)
+    turns = naming.collisions(df, ["pasta", "nome"], "caminho")
     assert [r["vez"] for r in turns.where("pasta = 'p' and nome = 'X'").orderBy("caminho").collect()] == list(range(1, 31))
     assert sorted(r["vez"] for r in turns.where("pasta is null").collect()) == [1, 2]
     there = spark.createDataFrame([("p", "X")], "pasta string, nome string")
