@@ -37,7 +37,7 @@ class TreeEncoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        self._encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self._encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.token_bytes = {i: token for token, i in ranks.items()}
         self._len = [0] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
