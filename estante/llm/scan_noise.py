@@ -103,17 +103,23 @@ def scanned(text: str) -> bool:
     return wrapped(text)
 
 
+def outline(lines: list[str]) -> list[str]:
+    """For each line "" if blank, "#" if of a heading or a cataloguing card, else "texto"."""
+    kind = ["" if not x.strip() else "#" if x.startswith("#") else "texto" for x in lines]
+    card = False
+    for i, x in enumerate(lines):
+        card = bool(x.strip()) and (card or len(x) < 45 and CARD.match(x) is not None)
+        if card:
+            kind[i] = "#"
+    return kind
+
+
 class Page:
     """The lines of one text with what each is: "#" heading, "" blank, "pagina", "cabecalho" or "texto"."""
 
     def __init__(self, text: str):
         self.lines = lines = text.split("\n")
-        self.kind = ["" if not x.strip() else "#" if x.startswith("#") else "texto" for x in lines]
-        card = False
-        for i, x in enumerate(lines):
-            card = bool(x.strip()) and (card or len(x) < 45 and CARD.match(x) is not None)
-            if card:
-                self.kind[i] = "#"
+        self.kind = outline(lines)
         full = [i for i, k in enumerate(self.kind) if k]
         place = {i: n for n, i in enumerate(full)}
         title = next((lines[i].lstrip("# ").strip() for i in full if lines[i].startswith("#")), "")
@@ -408,10 +414,11 @@ def continuous(text: str, right: dict[str, str], found: set[tuple[int, str]]) ->
         new = right.get(m.group().lower())
         return m.group() if new is None else new.upper() if m.group().isupper() and len(m.group()) > 1 else new.capitalize() if m.group()[:1].isupper() else new
 
-    page, out, at, cut = Page(text), [], "", False
+    # What is a header or a page number stands in found, so the lines need no second judgement.
+    lines, out, at, cut = text.split("\n"), [], "", False
     drop = {n for n, kind in found if kind in ("cabecalho", "pagina")}
     dropped = False
-    for i, (line, kind) in enumerate(zip(page.lines, page.kind)):
+    for i, (line, kind) in enumerate(zip(lines, outline(lines))):
         if i + 1 in drop:
             dropped = True
             continue
