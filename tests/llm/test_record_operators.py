@@ -160,6 +160,35 @@ def test_subjects_of_planted_topics(spark):
     assert S.subjects(df, records, areas, labels.limit(0)).count() > 0 and S.subjects(df, records.limit(0), areas, labels).count() == 0
 
 
+def test_thresholds_of_subjects_come_from_all_labels(spark):
+    n = 44_000  # half of them with a hash under 0, more than 20,000
+    docs = spark.range(n).select(F.col("id").alias("conv_id"), (F.xxhash64("id") < 0).alias("low"), ((F.col("id") + 1) / n).alias("densidade"))
+    said = F.expr("if(low, map(1L, 0.1D), map(1L, 0.3D, 2L, 0.15D, 3L, 0.15D, 4L, 0.15D))")
+    mixture = docs.select("conv_id", F.explode(said).alias("area_id", "parte"), "densidade")
+    areas = spark.createDataFrame([(i, "area", f"A{i}", None) for i in range(1, 5)] + [(9, "subarea", "B", "A1")], "area_id bigint, nivel string, nome string, area_pai string")
+    labels = docs.select("conv_id", F.lit(1).cast("bigint").alias("area_id"))
+    odd = spark.createDataFrame([(None, 1), (3, None), (3, 1), (5, 9), (n + 1, 9)], "conv_id bigint, area_id bigint")
+    share, least = S.calibrated(mixture.union(mixture.where("conv_id < 50")), labels.union(odd), areas)
+    assert share == pytest.approx(0.2, abs=1e-9) and least == pytest.approx(np.quantile(np.arange(1, n + 1) / n, 0.02) * 0.75, rel=1e-9)
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_thresholds_of_subjects_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "BROADCAST_DOCS", few, raising=False)
+    rng = random.Random(8)
+    rows = [(c, a, rng.random() * 0.5, d) for c in range(300) for d in [round(rng.random(), 1)] for a in rng.sample(range(1, 6), 3)]
+    truth = {(c, a) for c, a, part, _ in rows if rng.random() < 2 * part and c < 200} | {(999, 1)}
+    areas = spark.createDataFrame([(i, "area", f"A{i}", None) for i in range(1, 6)], "area_id bigint, nivel string, nome string, area_pai string")
+    known = {c for c, _ in truth}
+    marks = {}
+    for x in np.arange(0.08, 0.36, 0.01):
+        told = {(c, a) for c, a, part, _ in rows if part >= x and c in known}
+        marks[float(x)] = 2 * len(told & truth) / (len(told) + len(truth)) - abs(x - 0.2) * 0.01
+    share, least = S.calibrated(spark.createDataFrame(rows, "conv_id bigint, area_id bigint, parte double, densidade double"), spark.createDataFrame(sorted(truth), "conv_id bigint, area_id bigint"), areas)
+    assert marks[share] == max(marks.values())
+    assert least == pytest.approx(np.quantile(list({c: d for c, _, _, d in rows if c in known}.values()), 0.02) * 0.75, rel=1e-9)
+
+
 def test_multiplicative_updates_keep_mass_and_recover_a_mixture():
     w = np.array([[0.5, 0], [0.5, 0], [0, 0.7], [0, 0.3]])
     h = S.mixtures(np.array([0, 0, 0, 1]), np.array([0, 1, 2, 2]), np.array([3.0, 3.0, 2.0, 5.0]), 2, w)
